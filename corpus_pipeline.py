@@ -11,7 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm import line_dedup, quality
+import public_tokenizers
+
+from lumenfold.llm import line_dedup, packing, quality
 from lumenfold.llm.common import materialise, table
 
 
