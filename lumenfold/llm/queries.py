@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, embedding_dedup, line_dedup, packing, quality
+from lumenfold.llm import bpe, embedding_dedup, line_dedup, packing, pii, quality
 from lumenfold.llm.common import table
 
 #: Vocabulary files of the installed public tokenizers.
@@ -31,6 +31,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_dedup(table(spark, sf_dir, "embeddings"))
 
@@ -40,4 +44,4 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op5_line_dedup, op7_embedding_near_dedup, op8_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op5_line_dedup, op6_pii_pseudonyms, op7_embedding_near_dedup, op8_packing)}
