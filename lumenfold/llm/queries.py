@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, embedding_dedup, line_dedup, packing, pii, quality
+from lumenfold.llm import bpe, embedding_dedup, line_dedup, packing, pii, quality, secrets
 from lumenfold.llm.common import table
 
 #: Vocabulary files of the installed public tokenizers.
@@ -43,5 +43,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_example")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op5_line_dedup, op6_pii_pseudonyms, op7_embedding_near_dedup, op8_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op5_line_dedup, op6_pii_pseudonyms, op7_embedding_near_dedup, op8_packing, op9_secret_scan)}
