@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, embedding_dedup, line_dedup, packing, pii, quality, secrets
+from lumenfold.llm import bpe, embedding_dedup, line_dedup, near_dedup, packing, pii, quality, secrets
 from lumenfold.llm.common import table
 
 #: Vocabulary files of the installed public tokenizers.
@@ -48,5 +48,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_example")
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op5_line_dedup, op6_pii_pseudonyms, op7_embedding_near_dedup, op8_packing, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op5_line_dedup, op6_pii_pseudonyms, op7_embedding_near_dedup, op8_packing, op9_secret_scan, op10_minhash_near_dedup)}
