@@ -233,8 +233,9 @@ def labelled_cells(docs: DataFrame, labels: DataFrame, fit_rows: int) -> list[Ce
     )
     rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))
     cols = features()
-    groups = rows.filter(~base_failed()).select("quality", *(c.alias(n) for n, c in cols.items())).groupBy(*cols).agg(F.sum(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("quality") == 0, 0).otherwise(1)).alias("good"))
-    return [({n: r[n] for n in cols}, r["bad"], r["good"]) for r in groups.collect()]
+    # a filter on base_failed would be pushed below the join and read every document's statistics
+    groups = rows.select("quality", base_failed().alias("failed"), *(c.alias(n) for n, c in cols.items())).groupBy("failed", *cols).agg(F.sum(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("quality") == 0, 0).otherwise(1)).alias("good"))
+    return [({n: r[n] for n in cols}, r["bad"], r["good"]) for r in groups.collect() if not r["failed"]]
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000) -> list[Rule]:
