@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, embedding_dedup, line_dedup, near_dedup, packing, pii, quality, secrets, toxicity
+from lumenfold.llm import bpe, embedding_dedup, html_extract, line_dedup, near_dedup, packing, pii, quality, secrets, toxicity
 from lumenfold.llm.common import table
 
 #: Vocabulary files of the installed public tokenizers.
@@ -33,6 +33,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "spans")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -60,4 +64,4 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_toxicity, op5_line_dedup, op6_pii_pseudonyms, op7_embedding_near_dedup, op8_packing, op9_secret_scan, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_toxicity, op4_html_extraction, op5_line_dedup, op6_pii_pseudonyms, op7_embedding_near_dedup, op8_packing, op9_secret_scan, op10_minhash_near_dedup)}
