@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenfold.llm import line_dedup, packing, quality
+from lumenfold.llm import line_dedup, near_dedup, packing, pii, quality
 from lumenfold.llm.common import materialise, table
 
 
@@ -26,9 +26,26 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return line_dedup.dedup_lines(docs).select(docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, that of smallest id; five-word shingles, similarity 0.8."""
+    copies = near_dedup.near_dedup(docs.select("doc_id", "text"), width=5, percent=80).filter(~F.col("kept")).select("doc_id")
+    return docs.join(copies.distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def replace_private_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(docs).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", drop_low_quality),
     ("line_dedup", drop_shared_lines),
+    ("minhash_near_dedup", drop_near_copies),
+    ("pii_pseudonyms", replace_private_values),
+    ("packing", pack_sequences),
 ]
 
 #: The stages learn a model, join on similarity and pack by tokens, which SQL can't express.
