@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import BLANK, ascii_lower, hash128, let
+from lumenfold.llm.common import BLANK, ascii_lower, hash128, join_per_key, let, materialise
 
 MIN_CHARS = 10
 
@@ -35,13 +35,13 @@ def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = 2)
         .filter(F.char_length("key") >= min_chars)
         .select("doc_id", "_text_hash", "pos", *(c.alias(f"h{k}") for k, c in enumerate(hash128(F.col("key")))))
     )
-    held = lines.groupBy("h0", "h1").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"))
+    held = lines.groupBy("h0", "h1").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
     if min_docs > 2:
-        pairs = lines.groupBy("h0", "h1", "doc_id").agg(F.lit(1).alias("one"))
-        held = pairs.groupBy("h0", "h1").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter(F.col("n") >= min_docs)
-    shared = held.filter(F.col("keeper") < F.col("last")).select("h0", "h1", "keeper")
+        pairs = lines.groupBy("h0", "h1", "doc_id").agg(F.count("*").alias("one"))
+        held = pairs.groupBy("h0", "h1").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), F.count("*").alias("docs"), F.sum("one").alias("n")).filter(F.col("docs") >= min_docs)
+    shared = materialise(held.filter(F.col("keeper") < F.col("last")).select("h0", "h1", "keeper", "n"))
     return (
-        lines.join(shared, ["h0", "h1"])
+        join_per_key(lines, shared, ["h0", "h1"], "n", ["doc_id", "pos"])
         .filter(F.col("doc_id") != F.col("keeper"))
         .groupBy("doc_id", "_text_hash")
         .agg(F.collect_set("pos").alias("_drops"))
