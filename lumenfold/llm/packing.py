@@ -16,10 +16,12 @@ empty result.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 TIERS = (256, 512, 1024, 2048)
 #: Tokens that are packed together, and tokens in one training step.
@@ -119,24 +122,31 @@ def step_groups(windows: list[tuple[int, list[Item]]], step_tokens: int, counts:
     return out
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1, then from 256 on."""
+    plain = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class PieceTokenizer:
     """Ids of the ``tokenizers`` file, looked up piece by piece: equal pieces are encoded once.
 
     Byte-level BPE never merges across the pieces of its own pre-tokeniser, so ids of pieces
-    concatenate to the ids of the text. The table of pieces is bounded.
+    concatenate to the ids of the text. Strings of special tokens are ordinary text. The table of
+    pieces is bounded.
     """
 
     def __init__(self, path: str, pattern: str, known_pieces: int = 400_000, known_length: int = 48):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.model = Tokenizer.from_file(path).model
         self.split = regex.compile(pattern).findall
+        self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
         self.known_pieces, self.known_length = known_pieces, known_length
 
     def _learn(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
         if len(piece) <= self.known_length:
             if len(self.known) >= self.known_pieces:
                 self.known.clear()
@@ -148,6 +158,12 @@ class PieceTokenizer:
         return b"".join([known(p) or learn(p) for p in self.split(text)])
 
 
+@lru_cache(maxsize=2)
+def piece_tokenizer(path: str, pattern: str) -> PieceTokenizer:
+    """One per Python worker: later tasks find its table of pieces filled."""
+    return PieceTokenizer(path, pattern)
+
+
 def pack_documents(docs: DataFrame, tokenizer_file: str, pattern: str, *, tiers: tuple[int, ...] = TIERS, end_id: int = 1, block_tokens: int = BLOCK_TOKENS, step_tokens: int = STEP_TOKENS, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step.
 
@@ -157,7 +173,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, pattern: str, *, tiers:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenize: Callable[[str], bytes] = PieceTokenizer(tokenizer_file, pattern)
+        tokenize: Callable[[str], bytes] = piece_tokenizer(tokenizer_file, pattern)
         context = TaskContext.get()
         base, made, counts = (context.partitionId() if context else 0) << 36, 0, {}
         names: dict[int, tuple] = {}
