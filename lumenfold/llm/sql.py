@@ -25,5 +25,44 @@ GROUP BY k.doc_id
 """
 
 
+#: Cosines of all pairs of a label in double precision, then components by repeated minima.
+OP7 = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+    AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE len(a.v) = len(b.v) AND list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.98),
+reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = e.vec_id) AS n_links, r.component_id, r.component_id = vec_id AS kept
+FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM reached GROUP BY a) r ON r.a = e.vec_id
+"""
+
+#: Shared shingles of all pairs of documents, then components by reachability.
+OP10 = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM worded),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id
+  JOIN sizes p ON p.doc_id = x.doc_id JOIN sizes q ON q.doc_id = y.doc_id
+  WHERE 100 * least(p.n, q.n) >= 85 * greatest(p.n, q.n)
+  GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))),
+reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id, r.component_id = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM reached GROUP BY a) r ON r.a = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5}
+    return {"op5_line_dedup": OP5, "op7_embedding_near_dedup": OP7, "op10_minhash_near_dedup": OP10}
