@@ -7,9 +7,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(names: pd.Series) -> pd.Series:
     return names.map(lambda s: s if s is None else unicodedata.normalize("NFC", s))
 

@@ -8,6 +8,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lumenfold.options import MAX_READ_BYTES
 
@@ -28,7 +29,7 @@ def _digest(path: str) -> str | None:
     return found.hexdigest()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _digests(paths: pd.Series) -> pd.Series:
     return paths.map(lambda p: None if p is None else _digest(p))
 
@@ -48,7 +49,7 @@ def _body(path: str) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def read_text(paths: pd.Series) -> pd.Series:
     """Whole file as UTF-8; null if it can't be read or decoded."""
     return paths.map(lambda p: None if p is None else _body(p))
@@ -113,7 +114,7 @@ def _exif_of(path: str) -> dict[int, str]:
 def with_exif_dates(files: DataFrame, path: str = "path") -> DataFrame:
     """Add ``exif_raw``: the image's own date, else the original's, else the digitised one's."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def raw(paths: pd.Series) -> pd.Series:
         def first(p: str | None) -> str | None:
             tags = {} if p is None else _exif_of(p)
