@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import hash128, materialise
+from lumenfold.llm.common import hash128, join_per_key, materialise
 from lumenfold.llm.components import connected_components
 
 THRESHOLD, RECALL, BLOCK = 0.98, 0.99999, 1024
@@ -50,14 +50,14 @@ def with_buckets(classes: DataFrame, bits: int, tables: int, seed: int) -> DataF
         for b in batches:
             signs = []
             for v in b.column("vector").to_pylist():
-                x = np.array(v)
+                x = np.array(v, dtype=np.float64)
                 if len(x) not in made:
                     made[len(x)] = planes(len(x), bits, tables, seed)
-                h = made[len(x)]
-                signs.append(((x @ h > 0).reshape(tables, bits) @ weights).tolist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(signs, pa.list_(pa.int64()))], [*b.schema.names, "signs"])
+                signs.append(((x @ made[len(x)] > 0).reshape(tables, bits) @ weights).tolist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(signs, pa.list_(pa.int32()))], [*b.schema.names, "signs"])
 
-    return classes.mapInArrow(run, "class long, label string, vector array<double>, size long, signs array<long>")
+    kind = classes.schema["vector"].dataType.simpleString()
+    return classes.mapInArrow(run, f"class long, label string, vector {kind}, size long, signs array<int>")
 
 
 def usable(embedding: str = "embedding") -> Column:
@@ -119,7 +119,9 @@ def _compare(threshold: float):
             if t.num_rows < 2:
                 return
             c = {n: t.column(n).to_numpy() for n in ("class", "size", "side", "table")}
-            c["vector"] = np.vstack(t.column("unit").to_numpy(zero_copy_only=False))
+            x = np.vstack(t.column("vector").to_numpy(zero_copy_only=False)).astype(np.float64)
+            x /= np.abs(x).max(axis=1, keepdims=True)
+            c["vector"] = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
             c["signs"] = np.vstack(t.column("signs").to_numpy(zero_copy_only=False))
             for ids, links, roots in of_run(c):
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links.astype(np.int64)), pa.array(np.where(roots == np.iinfo(np.int64).max, ids, roots))], ["class", "links", "root"])
@@ -143,23 +145,20 @@ def _compare(threshold: float):
 
 def near_dedup(vectors: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding, label)."""
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>").alias("vector"), usable().alias("_usable"))
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").alias("vector"), usable().alias("_usable"))
     a, b = hash128(F.col("label"), F.col("vector"))
     rows = materialise(rows.withColumn("class_key", F.when(F.col("_usable"), F.struct(a.alias("a"), b.alias("b")))))
     classes = rows.filter("_usable").groupBy("class_key").agg(F.min("vec_id").alias("class"), F.first("label").alias("label"), F.first("vector").alias("vector"), F.count("*").alias("size"))
     per_label = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan_tables(per_label, threshold, recall)
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v * v))
-    signed = materialise(
-        with_buckets(classes.filter(F.col("class").isNotNull()).select("class", "label", "vector", "size"), bits, tables, seed).withColumn("unit", F.transform("vector", lambda v: v / norm)).drop("vector")
-    )
-    cells = signed.select("*", F.posexplode("signs").alias("table", "bucket")).withColumn("home", F.xxhash64("label", F.size("unit"), "table", "bucket"))
-    count = cells.groupBy("home").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("home", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    placed = cells.join(count, "home", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    signed = materialise(with_buckets(classes.filter(F.col("class").isNotNull()).select("class", "label", "vector", "size"), bits, tables, seed))
+    cells = signed.select("*", F.posexplode("signs").alias("table", "bucket")).withColumn("home", F.xxhash64("label", F.size("vector"), "table", "bucket"))
+    large = materialise(cells.groupBy("home").agg(F.count("*").alias("n")).filter(F.col("n") > block).withColumn("parts", F.ceil(F.col("n") / block).cast("int")))
+    placed = join_per_key(cells, large, ["home"], "n", ["class"]).withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     # block k meets blocks k.. as side 0 and blocks ..k as side 1: each pair of blocks is one cell
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     spread = placed.withColumn("other", other).withColumn("side", F.when(F.col("part") <= F.col("other"), 0).otherwise(1)).withColumn("cell", F.xxhash64("home", F.least("part", "other"), F.greatest("part", "other")))
-    met = spread.select("cell", "class", "size", "side", "table", "unit", "signs").repartition("cell").sortWithinPartitions("cell")
+    met = spread.select("cell", "class", "size", "side", "table", "vector", "signs").repartition("cell").sortWithinPartitions("cell")
     found = materialise(met.mapInArrow(_compare(threshold), "class long, links long, root long"))
     counts = found.groupBy("class").agg(F.sum("links").alias("links"))
     parts = connected_components(found.filter(F.col("class") != F.col("root")), "class", "root")
