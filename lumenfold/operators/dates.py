@@ -17,6 +17,7 @@ from lumenfold.functions.mime import is_image
 from lumenfold.operators.sidecar import find_sidecars
 from lumenfold.options import MAX_READ_BYTES, Options
 from lumenfold.sources.content import read_text, with_exif_dates
+from lumenfold.staging import staged
 
 Extractor = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -46,7 +47,8 @@ def resolve_dates(media: DataFrame, entries: DataFrame, chain: Sequence[Extracto
     """Add ``date_taken`` and ``accuracy``, both null where no extractor gives a date."""
     undated, found = media, None
     for rank, extractor in enumerate(chain):
-        dated = extractor(undated, entries).filter(F.col("date").isNotNull()).select("path", F.struct(F.lit(rank).alias("accuracy"), F.col("date").alias("date_taken")).alias("_got")).persist()  # else later ranks would read the files again
+        dated = extractor(undated, entries).filter(F.col("date").isNotNull()).select("path", F.struct(F.lit(rank).alias("accuracy"), F.col("date").alias("date_taken")).alias("_got"))
+        dated = staged(dated)  # else later ranks would read the files again
         found = dated if found is None else found.unionByName(dated)
         if rank < len(chain) - 1:
             undated = undated.join(dated, "path", "left_anti")

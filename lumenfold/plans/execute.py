@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.plans.manifest import albums_index
+from lumenfold.staging import staged
 
 OUTCOME = "op string, dest string, done boolean, warning string"
 
@@ -25,11 +26,6 @@ class OutputNotEmpty(Exception):
     pass
 
 
-def _same(src: str, dest: str) -> bool:
-    a, b = os.stat(src), os.stat(dest)
-    return a.st_size == b.st_size and int(a.st_mtime) == int(b.st_mtime)
-
-
 def _put(op: str, src: str, dest: str, link_target: str | None) -> None:
     os.makedirs(os.path.dirname(dest), exist_ok=True)
     if op == "link":
@@ -76,10 +72,8 @@ def execute(manifest: DataFrame, now: datetime | None = None) -> DataFrame:
     """
     now = now or datetime.now(timezone.utc)
     rows = manifest.select("op", "src", "dest", "link_target", "mtime")
-    real = rows.filter(F.col("op") != "link").mapInArrow(_perform(now), OUTCOME).persist()
-    real.count()
-    links = rows.filter(F.col("op") == "link").mapInArrow(_perform(now), OUTCOME).persist()
-    links.count()
+    real = staged(rows.filter(F.col("op") != "link").mapInArrow(_perform(now), OUTCOME))
+    links = staged(rows.filter(F.col("op") == "link").mapInArrow(_perform(now), OUTCOME))
     return real.unionByName(links)
 
 

@@ -16,7 +16,8 @@ _TAIL = r"(?:\(1\))+\z"
 
 
 def root_of(name: Column) -> Column:
-    return F.concat(F.regexp_replace(stem(name), _TAIL, ""), extension(name))
+    """(stem without trailing ``(1)``s, extension)."""
+    return F.struct(F.regexp_replace(stem(name), _TAIL, "").alias("stem"), extension(name).alias("ext"))
 
 
 def level_of(name: Column) -> Column:
@@ -25,14 +26,11 @@ def level_of(name: Column) -> Column:
 
 
 def named(root: Column, level: Column) -> Column:
-    return F.concat(stem(root), F.repeat(F.lit("(1)"), level), extension(root))
+    return F.concat(root["stem"], F.repeat(F.lit("(1)"), level), root["ext"])
 
 
 def assign_names(entries: DataFrame, occupied: DataFrame | None, key: str, order: list[str]) -> DataFrame:
-    """(key, final_name) for rows (key, folder, name, *order); ``occupied`` lists taken (folder, name).
-
-    A stem that is nothing but ``(1)``s, or has an empty root, keeps its levels like any other.
-    """
+    """(key, final_name) for rows (key, folder, name, *order); ``occupied`` lists taken (folder, name)."""
     rows = entries.select(key, "folder", root_of(F.col("name")).alias("root"), level_of(F.col("name")).alias("level"), F.struct(*order).alias("turn"))
     taken = F.array().cast("array<int>")
     groups = rows.groupBy("folder", "root").agg(F.array_sort(F.collect_list(F.struct("turn", F.col(key).alias("key"), "level"))).alias("queue"))

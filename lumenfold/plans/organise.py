@@ -21,6 +21,7 @@ from lumenfold.options import Options
 from lumenfold.plans.execute import execute, prepare_output, set_times, write_albums_index
 from lumenfold.plans.manifest import build_manifest
 from lumenfold.sources.filesystem import fs_entries
+from lumenfold.staging import staged
 
 
 class NothingFound(Exception):
@@ -39,13 +40,13 @@ class Plan:
 
 def plan(spark: SparkSession, options: Options, entries: DataFrame | None = None, occupied: DataFrame | None = None) -> Plan:
     spark.conf.set("spark.sql.session.timeZone", options.timezone)
-    entries = (fs_entries(spark, options.input) if entries is None else entries).persist()
-    # numbers and digests are used by several stages: computed once
-    media = with_content_key(media_list(entries).persist(), oversize_policy=options.oversize_policy).persist()
+    entries = staged(fs_entries(spark, options.input) if entries is None else entries)
+    # list order and digests are used by several stages: computed once
+    media = staged(with_content_key(staged(media_list(entries)), oversize_policy=options.oversize_policy))
     unique = remove_duplicates(media)
     kept = remove_extras(unique, options.extra_suffixes) if options.skip_extras else unique
-    dated = resolve_dates(kept.persist(), entries, extractors(options)).persist()
-    merged = merge_albums(dated).persist()
+    kept = staged(kept)
+    merged = staged(merge_albums(resolve_dates(kept, entries, extractors(options))))
     manifest = build_manifest(merged, options, occupied)
     return Plan(media, merged, manifest, summary(media, unique, kept, merged))
 
@@ -63,14 +64,12 @@ def organise(spark: SparkSession, options: Options, dry_run: bool = True) -> Pla
     occupied = None
     if options.on_nonempty_output == "append":
         there = fs_entries(spark, options.output)
-        occupied = there.select(F.col("parent").alias("folder"), "name").persist()
+        occupied = there.select(F.col("parent").alias("folder"), "name")
     made = plan(spark, options, occupied=occupied)
     if made.media.isEmpty():
         raise NothingFound(options.input)
     if not dry_run:
-        made.manifest = made.manifest.persist()
-        made.summary = spark.createDataFrame(made.summary.collect(), made.summary.schema)  # before files move
-        made.manifest.count()
+        made.manifest = staged(made.manifest)  # before files move
         execute(made.manifest)
         if options.albums == "json":
             write_albums_index(made.manifest, options.output)
@@ -81,6 +80,6 @@ def fix(spark: SparkSession, folder: str, options: Options | None = None) -> Dat
     """Set the modification time of every datable file below a folder: one row (set, not_set)."""
     options = options or Options()
     spark.conf.set("spark.sql.session.timeZone", options.timezone)
-    entries = fs_entries(spark, folder).persist()
-    dated = resolve_dates(fix_list(entries).persist(), entries, extractors(options))
+    entries = staged(fs_entries(spark, folder))
+    dated = resolve_dates(staged(fix_list(entries)), entries, extractors(options))
     return set_times(dated).agg(F.count_if("done").alias("set"), F.count_if(~F.col("done")).alias("not_set"))

@@ -1,0 +1,210 @@
+"""Duplicates, albums, naming and the manifest on small tables, and invariants on random ones."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lumenfold.operators import albums, classify, content, dates, dedup, extras
+from lumenfold.options import ALBUM_MODES, MAX_READ_BYTES, Options
+from lumenfold.plans.manifest import albums_index, build_manifest
+from lumenfold.plans.naming import assign_names
+
+DAY = dt.datetime(2020, 9, 1)
+MEDIA = "ord long, album string, path string, name string, size long, content_key string, date_taken timestamp, accuracy int"
+
+
+def media(spark, rows):
+    """rows: (ord, album, name, content, date, accuracy)."""
+    return spark.createDataFrame([(o, a, f"/in/{a or 'year'}/{n}", n, len(c), c, d, k) for o, a, n, c, d, k in rows], MEDIA)
+
+
+LIST = [
+    (0, None, "image-edited.jpg", "012", DAY, 1),
+    (1, "Vacation", "image-edited.jpg", "012", dt.datetime(2022, 9, 1), 2),
+    (2, None, "Urlaub (38).JPG", "345x", dt.datetime(2020, 1, 1), 2),
+    (3, None, "Screenshot.jpg", "678xx", dt.datetime(2022, 10, 28), 1),
+    (4, None, "simple_file_20200101-edited.jpg", "9AB", None, None),
+    (5, None, "simple_file_20200101-edited(1).jpg", "9AB", dt.datetime(2019, 1, 1), 3),
+    (6, None, "img_(87).jpg", "CDE", dt.datetime(2020, 1, 1), 1),
+    (7, None, "IMG-20150125-WA0003.jpg", "FGH", dt.datetime(2015, 1, 1), 1),
+    (8, None, "IMG-20150125-WA0003(1).jpg", "IJK", dt.datetime(2015, 1, 1), 1),
+]
+
+
+def test_duplicates_and_albums(spark):
+    m = media(spark, LIST)
+    left = dedup.remove_duplicates(m)
+    assert sorted(r.ord for r in left.collect()) == [0, 1, 2, 3, 5, 6, 7, 8]
+    assert dedup.count_duplicates(m).first().removed == 1
+    merged = albums.merge_albums(left).collect()
+    assert len(merged) == 7
+    (both,) = [r for r in merged if len(r.files) == 2]
+    assert [f.album for f in both.files] == [None, "Vacation"]
+    assert (both.date_taken, both.accuracy, both.merged) == (DAY, 1, True)
+
+
+def test_shorter_name_isnt_always_kept(spark):
+    m = media(spark, [(0, None, "a" * 5 + ".jpg", "x", None, None), (1, None, "a" * 6 + ".jpg", "x", None, None)])
+    assert [r.ord for r in dedup.remove_duplicates(m).collect()] == [1]
+
+
+def test_merge_keeps_first_place_and_last_path_of_a_repeated_album(spark):
+    m = media(spark, [(0, "A", "a.jpg", "x", None, None), (1, None, "b.jpg", "x", DAY, 2), (2, "A", "c.jpg", "x", DAY, 2)])
+    r = albums.merge_albums(m).first()
+    assert [(f.album, f.path[-5:]) for f in r.files] == [("A", "c.jpg"), (None, "b.jpg")]
+    assert (r.accuracy, r.group_ord) == (2, 0)
+
+
+def test_merge_order_puts_merged_records_last(spark):
+    m = media(spark, [(0, None, "a.jpg", "xx", None, None), (1, None, "b.jpg", "yyy", None, None), (2, "A", "c.jpg", "xx", None, None), (3, None, "d.jpg", "zz", None, None), (4, "A", "e.jpg", "zz", None, None)])
+    rows = albums.merge_albums(m).orderBy(albums.media_order()).collect()
+    assert [r.content_key for r in rows] == ["yyy", "xx", "zz"]
+
+
+def test_output_counts(spark):
+    merged = albums.merge_albums(media(spark, [*LIST[:4], (9, "B", "only.jpg", "only in album", None, None)]))
+    assert {m: albums.output_file_count(merged, m).first().files for m in ALBUM_MODES} == {"shortcut": 5, "duplicate-copy": 5, "json": 4, "nothing": 3}
+    with pytest.raises(ValueError):
+        albums.output_file_count(merged, "other")
+
+
+def test_empty_list(spark):
+    m = media(spark, [])
+    merged = albums.merge_albums(dedup.remove_duplicates(m))
+    assert merged.count() == 0
+    assert dedup.count_duplicates(m).first().removed == 0
+    assert albums.output_file_count(merged, "shortcut").first().files == 0
+    assert build_manifest(merged, Options(output="/out")).count() == 0
+
+
+def test_content_key_reads_only_shared_sizes(spark):
+    rows = spark.createDataFrame([("a", 3, "h1"), ("b", 3, "h2"), ("c", 4, "h3")], "path string, size long, digest string")
+    got = content.with_content_key(rows, F.col("digest")).collect()
+    assert {r.path: r.content_key for r in got} == {"a": "h1", "b": "h2", "c": "4bytes"}
+
+
+@pytest.mark.parametrize(("policy", "same"), [("reference", True), ("full_hash", False)])
+def test_oversize_policies(spark, tmp_path, policy, same):
+    for name, end in (("a", b"1"), ("b", b"2")):
+        with open(tmp_path / name, "wb") as f:
+            f.truncate(MAX_READ_BYTES)
+            f.seek(MAX_READ_BYTES)
+            f.write(end)
+    rows = spark.createDataFrame([(str(tmp_path / n), MAX_READ_BYTES + 1) for n in "ab"], "path string, size long")
+    keys = {r.content_key for r in content.with_content_key(rows, oversize_policy=policy).collect()}
+    assert (len(keys) == 1) == same
+    assert (keys == {"00"}) == same
+
+
+def names(spark, rows, taken=()):
+    entries = spark.createDataFrame([(str(k), "/o", n, k) for k, n in enumerate(rows)], "key string, folder string, name string, turn int")
+    occupied = spark.createDataFrame([("/o", n) for n in taken], "folder string, name string") if taken else None
+    got = assign_names(entries, occupied, "key", ["turn"]).collect()
+    return [r.final_name for r in sorted(got, key=lambda r: int(r.key))]
+
+
+def free_names(rows, taken=()):
+    used, out = set(taken), []
+    for n in rows:
+        while n in used:
+            stem, dot, ext = n.rpartition(".")
+            n = f"{stem}(1){dot}{ext}" if dot and stem else f"{n}(1)"
+        used.add(n)
+        out.append(n)
+    return out
+
+
+def test_collision_names(spark):
+    assert names(spark, ["a.jpg"], ["a.jpg", "a(1).jpg"]) == ["a(1)(1).jpg"]
+    assert names(spark, ["a.jpg", "a(1).jpg", "a.jpg", "b", "b", ".c", ".c"]) == ["a.jpg", "a(1).jpg", "a(1)(1).jpg", "b", "b(1)", ".c", ".c(1)"]
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.sampled_from(["a.jpg", "a(1).jpg", "a(1)(1).jpg", "b.jpg", "(1).jpg", "x"]), max_size=12), st.lists(st.sampled_from(["a.jpg", "a(1)(1).jpg", "b.jpg"]), max_size=3, unique=True))
+def test_collision_names_like_one_after_another(spark, rows, taken):
+    got = names(spark, rows, taken) if rows else []
+    assert got == free_names(rows, taken)
+    assert len(set(got)) == len(got)
+
+
+def manifest(spark, mode, rows=LIST, **options):
+    merged = albums.merge_albums(dedup.remove_duplicates(media(spark, rows)))
+    return build_manifest(merged, Options(output="/out", albums=mode, **options))
+
+
+def test_manifest_modes(spark):
+    ops = {m: sorted((r.op, r.dest) for r in manifest(spark, m, copy=True).collect()) for m in ALBUM_MODES}
+    assert len(ops["shortcut"]) == 8 and sum(o == "link" for o, _ in ops["shortcut"]) == 1
+    assert ("link", "/out/Vacation/image-edited.jpg") in ops["shortcut"]
+    assert len(ops["nothing"]) == len(ops["json"]) == 7
+    assert ("copy", "/out/Vacation/image-edited.jpg") in ops["duplicate-copy"] and len(ops["duplicate-copy"]) == 8
+
+
+def test_link_takes_the_final_name_of_its_main_file(spark):
+    rows = [(0, None, "a.jpg", "x", DAY, 1), (1, None, "a.jpg", "yy", DAY, 1), (2, "T", "other.jpg", "yy", DAY, 1)]
+    (link,) = [r for r in manifest(spark, "shortcut", rows).collect() if r.op == "link"]
+    assert (link.dest, link.link_target) == ("/out/T/a(1).jpg", "/out/ALL_PHOTOS/a(1).jpg")
+
+
+def test_folders_of_the_manifest(spark):
+    rows = [(0, " T ", "a.jpg", "x", DAY, 1), (1, None, "b.jpg", "yy", None, None)]
+    assert sorted(r.dest for r in manifest(spark, "shortcut", rows, divide_to_dates=True).collect()) == ["/out/ALL_PHOTOS/date-unknown/b.jpg", "/out/T/2020/09/a.jpg"]
+    assert [r.dest for r in manifest(spark, "nothing", rows).collect()] == ["/out/ALL_PHOTOS/date-unknown/b.jpg"]
+
+
+def test_album_only_files_in_two_albums_are_put_in_both(spark):
+    rows = [(0, "A", "a.jpg", "x", DAY, 1), (1, "B", "a.jpg", "x", DAY, 1)]
+    assert sorted((r.op, r.dest) for r in manifest(spark, "shortcut", rows).collect()) == [("move", "/out/A/a.jpg"), ("move", "/out/B/a.jpg")]
+
+
+def test_albums_index_last_of_equal_names_counts(spark):
+    rows = [(0, None, "a.jpg", "x", DAY, 1), (1, "A", "a.jpg", "x", DAY, 1), (2, None, "a.jpg", "yy", dt.datetime(2021, 1, 1), 1), (3, "B", "a.jpg", "yy", DAY, 2)]
+    got = albums_index(manifest(spark, "json", rows, divide_to_dates=True)).collect()
+    assert [(r.name, r.albums) for r in got] == [("a.jpg", ["B"])]
+
+
+def entries(spark, paths):
+    rows = [(p.rstrip("/"), p.rstrip("/").rpartition("/")[0], p.rstrip("/").rpartition("/")[2], p.endswith("/"), 1) for p in paths]
+    return spark.createDataFrame(rows, "path string, parent string, name string, is_dir boolean, length long")
+
+
+def test_classification(spark):
+    e = entries(spark, ["/t/Photos from 2020/", "/t/Trip/", "/t/Photos from vacation/", "/u/random/", "/t/Photos from 2020/a.jpg", "/t/Trip/b.jpg", "/t/Trip/sub/", "/t/Trip/sub/c.jpg", "/u/random/d.jpg", "/t/Trip/x.json"])
+    assert [r.name for r in classify.year_folders(e).collect()] == ["Photos from 2020"]
+    assert sorted(r.name for r in classify.album_folders(e).collect()) == ["Photos from vacation", "Trip"]
+    assert [(r.album, r.name) for r in classify.media_list(e).orderBy("ord").collect()] == [(None, "a.jpg"), ("Trip", "b.jpg")]
+    assert classify.fix_list(e).count() == 4
+
+
+def test_date_chain_accuracy(spark):
+    m = media(spark, [(0, None, "IMG_20200101_000000.jpg", "x", None, None), (1, None, "b.jpg", "y", None, None), (2, None, "c.jpg", "z", None, None)]).drop("date_taken", "accuracy")
+    of = lambda n: lambda rows, _: rows.filter(F.col("name") == n).select("path", F.lit(DAY).alias("date"))
+    got = dates.resolve_dates(m, m, [of("b.jpg"), of("b.jpg"), dates.from_name]).collect()
+    assert {r.name: r.accuracy for r in got} == {"IMG_20200101_000000.jpg": 2, "b.jpg": 0, "c.jpg": None}
+    assert len(dates.extractors(Options())) == 4 and len(dates.extractors(Options(guess_from_name=False))) == 3
+
+
+rows_of_media = st.lists(st.tuples(st.sampled_from([None, "A", "B"]), st.sampled_from(["a.jpg", "bb.jpg", "a-edited.jpg"]), st.sampled_from(["x", "y", "zz"])), max_size=15)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows_of_media)
+def test_invariants(spark, rows):
+    m = media(spark, [(k, a, n, c, None, None) for k, (a, n, c) in enumerate(rows)])
+    once = dedup.remove_duplicates(m)
+    left = once.collect()
+    assert {(r.album, r.content_key) for r in left} == {(a, c) for a, _, c in rows}
+    assert len(left) == len({(a, c) for a, _, c in rows})
+    assert sorted(r.ord for r in dedup.remove_duplicates(once).collect()) == sorted(r.ord for r in left)
+    assert dedup.count_duplicates(m).first().removed == len(rows) - len(left)
+    assert extras.remove_extras(m).count() == sum("edited" not in n for _, n, _ in rows)
+    made = build_manifest(albums.merge_albums(once), Options(output="/out", albums="duplicate-copy"))
+    dests = [r.dest for r in made.collect()]
+    assert len(set(dests)) == len(dests) == len(left)
+    again = build_manifest(albums.merge_albums(dedup.remove_duplicates(m.repartition(7))), Options(output="/out", albums="duplicate-copy"))
+    assert sorted(r.dest for r in again.collect()) == sorted(dests)
