@@ -9,10 +9,12 @@
 3. A node still large at ``depth`` holds near-copies of one text. Its smallest class is the pivot:
    all are compared with it, those surely linked to it form its star and need no comparison with
    one another, and the rest meet every part of the node, part by part. No pair is given up.
-4. Candidate pairs are confirmed on the full sets. Links go to connected components.
-
-Inside a node, classes that are surely linked to the same earlier class are linked through it, so
-a group of m near-copies gives about m links instead of m * m / 2.
+4. A node gives a maximum spanning forest of its candidate pairs, at most one link a row, however
+   many near-copies meet there. Forest links are confirmed on the full sets and go to connected
+   components.
+5. Where one node's candidates still lie in several components, all its pairs across components
+   are confirmed on the full sets, inside the node, and the components joined again. So no link is
+   lost to the forest, and no node ever emits all its pairs.
 
 Cases. Null texts and texts without words have an empty set and link with nothing. Fewer words
 than a shingle are one shingle. Rows of equal doc_id are one document: a link of one is a link of
@@ -36,8 +38,11 @@ from lumenfold.llm.components import connected_components
 
 RECALL, DEPTH, NODE_ROWS = 0.9999, 4, 512
 SKETCH, DEEPER = 128, 16
-#: Sketch agreement is within 4 standard deviations of the similarity, and a sure link 3.5 above it.
+#: In standard deviations of sketch agreement at the similarity sought: a candidate is at most SLACK
+#: below it, a sure link at least SURE above it.
 SLACK, SURE = 4.0, 3.5
+#: Words of 64 bits in the filter that keeps texts without candidates from being shuffled.
+FILTER_WORDS = 1 << 17
 #: Pairs of one document that are verified in one place.
 PAIRS_TOGETHER = 2000
 
@@ -136,70 +141,89 @@ def agreement_limits(percent: int) -> tuple[int, int]:
     return math.floor(SKETCH * (j - SLACK * sd)), math.ceil(SKETCH * min(1.0, j + SURE * sd))
 
 
-def _pairs_in_node(ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, starred: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one node, whose rows are in order of id; starred rows need no pair with each other."""
-    least, sure = agreement_limits(percent)
-    anchor = np.full(len(ids), -1)
-    left, right = [], []
-    for i in range(len(ids) - 1):
-        rest = slice(i + 1, len(ids))
-        near = (100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest])) & (ids[rest] != ids[i])
+def _forest_of_node(ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, starred: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, suspects): a maximum spanning forest of the node's candidate pairs, by Prim's
+    algorithm on sketch agreement, and every row that has a candidate partner.
+
+    Starred rows need no pair with each other. Rows are compared one against the rest, so memory is
+    linear in the node.
+    """
+    least, _ = agreement_limits(percent)
+    m = len(ids)
+
+    def row(i: int) -> np.ndarray:
+        ok = (100 * np.minimum(n[i], n) >= percent * np.maximum(n[i], n)) & (ids != ids[i])
         if starred[i]:
-            near &= ~starred[rest]
-        if anchor[i] >= 0:
-            near &= anchor[rest] != anchor[i]
-        k = np.flatnonzero(near)
-        if not len(k):
-            continue
-        same = (sketch[i + 1 + k] == sketch[i]).sum(axis=1)
-        found = same >= least
-        left.append(np.full(found.sum(), ids[i]))
-        right.append(ids[i + 1 + k[found]])
-        if anchor[i] < 0:
-            own = i + 1 + k[same >= sure]
-            anchor[own[anchor[own] < 0]] = i
-    none = np.empty(0, dtype=np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
-
-
-def _compare_nodes(percent: int):
-    """Over rows sorted by node: candidate pairs (a, b), each node held whole, at most its bounded size."""
+            ok &= ~starred
+        k = np.flatnonzero(ok)
+        out = np.zeros(m, dtype=np.int64)
+        out[k] = (sketch[k] == sketch[i]).sum(axis=1)
+        return out
+
+    if m == 2:
+        k = np.array([0] if row(0)[1] >= least else [], dtype=int)
+        return ids[k], ids[k + 1], ids[:0]
+    best, source, done = np.zeros(m, dtype=np.int64), np.full(m, -1), np.zeros(m, dtype=bool)
+    suspect = np.zeros(m, dtype=bool)
+    left, right = [], []
+    i = 0
+    for _ in range(m - 1):
+        done[i] = True
+        found = row(i)
+        suspect[i] = (found >= least).any()
+        better = (found > best) & ~done
+        best[better], source[better] = found[better], i
+        waiting = np.where(done, -1, best)
+        i = int(waiting.argmax())
+        if waiting[i] >= least:
+            left.append(ids[source[i]])
+            right.append(ids[i])
+            suspect[i] = True
+    # the forest's links decide a node of two suspects
+    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64), ids[suspect] if suspect.sum() > 2 else ids[:0]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str = "node") -> Iterator[tuple[int, pa.Table]]:
+    """Whole groups of batches that are sorted by ``key``."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for b in batches:
+        keys = b.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for start, stop in zip(cuts, cuts[1:]):
+            if start == stop:
+                continue
+            if held and keys[start] != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = keys[start]
+            held.append(b.slice(start, stop - start))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def _compare_nodes(percent: int, rows_together: int = 20_000):
+    """Over rows sorted by node: forest links (a, b), and suspects (node, a)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        key = None
-
-        def close() -> None:
-            if sum(x.num_rows for x in held) > 1:
-                t = pa.Table.from_batches(held)
-                ids, n, starred = (t.column(c).to_numpy() for c in ("rep", "n", "starred"))
-                sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(ids), SKETCH)
-                order = np.argsort(ids, kind="stable")
-                a, b = _pairs_in_node(ids[order], n[order], sketch[order], starred[order], percent)
-                if len(a):
-                    out.append((a, b))
+        a, b, node = [], [], []
 
         def taken() -> Iterator[pa.RecordBatch]:
-            if out:
-                a, b = (np.concatenate(x) for x in zip(*out))
-                out.clear()
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(node, pa.int64())], ["a", "b", "node"])
+            for x in (a, b, node):
+                x.clear()
 
-        for b in batches:
-            nodes = b.column("node").to_numpy()
-            cuts = [0, *(np.flatnonzero(nodes[1:] != nodes[:-1]) + 1).tolist(), len(nodes)]
-            for start, stop in zip(cuts, cuts[1:]):
-                if start == stop:
-                    continue
-                if nodes[start] != key:
-                    close()
-                    held = []
-                    key = nodes[start]
-                held.append(b.slice(start, stop - start))
-            yield from taken()
-        close()
+        for key, t in _runs(batches):
+            if t.num_rows < 2:
+                continue
+            ids, n, starred = (t.column(c).to_numpy() for c in ("rep", "n", "starred"))
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(ids), SKETCH)
+            left, right, suspects = _forest_of_node(ids, n, sketch, starred, percent)
+            a += np.minimum(left, right).tolist() + suspects.tolist()
+            b += np.maximum(left, right).tolist() + [None] * len(suspects)
+            node += [None] * len(left) + [int(key)] * len(suspects)
+            if len(a) > rows_together:
+                yield from taken()
         yield from taken()
 
     return run
@@ -207,7 +231,7 @@ def _compare_nodes(percent: int):
 
 def _candidates_of(rows: DataFrame, percent: int) -> DataFrame:
     grouped = rows.select("node", "rep", "n", "sketch", "starred").repartition("node").sortWithinPartitions("node", "rep")
-    return grouped.mapInArrow(_compare_nodes(percent), "a long, b long")
+    return grouped.mapInArrow(_compare_nodes(percent), "a long, b long, node long")
 
 
 def _against_pivot(rows: DataFrame, percent: int) -> DataFrame:
@@ -231,7 +255,8 @@ def _large_nodes(rows: DataFrame, node_rows: int) -> DataFrame:
 
 
 def candidate_pairs(reps: DataFrame, trees: int, percent: int, node_rows: int, depth: int) -> DataFrame:
-    """Distinct (a, b), a < b, of classes (rep, n, tokens, sketch) that meet and look alike."""
+    """Of classes (rep, n, tokens, sketch) that meet and look alike: forest links (a, b), a < b, and
+    suspects (node, a), where b is null."""
     rows = reps.select("rep", "n", "sketch", F.slice("tokens", trees + 1, DEEPER).alias("deeper"), F.posexplode(F.slice("tokens", 1, trees)).alias("tree", "token")).withColumn("node", F.xxhash64("tree", "token")).drop("token").withColumn("starred", F.lit(False))
     found: list[DataFrame] = []
     for level in range(depth):
@@ -249,7 +274,7 @@ def candidate_pairs(reps: DataFrame, trees: int, percent: int, node_rows: int, d
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return materialise(out.distinct())
+    return out
 
 
 def _pivot_pairs(rows: DataFrame, large: DataFrame, percent: int, node_rows: int) -> list[DataFrame]:
@@ -258,7 +283,7 @@ def _pivot_pairs(rows: DataFrame, large: DataFrame, percent: int, node_rows: int
     with_sketch = pivots.join(rows.select("node", F.col("rep").alias("pivot"), F.col("sketch").alias("pivot_sketch")), ["node", "pivot"]).dropDuplicates(["node"])
     per_node = materialise(with_sketch.join(large, "node").withColumn("parts", F.ceil(F.col("rows") / node_rows).cast("int")))
     met = materialise(_against_pivot(join_per_key(rows.select("node", "rep", "n", "sketch"), per_node, ["node"], "rows", ["rep"]).select("node", "rep", "n", "sketch", "pivot", "parts", "pivot_sketch"), percent))
-    star = met.filter(F.col("near") & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+    star = met.filter(F.col("near") & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b"), F.lit(None).cast("long").alias("node"))
     own = F.array(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     parts = F.when(F.col("starred"), own).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     spread = met.withColumn("part", F.explode(parts)).withColumn("node", F.xxhash64("node", "part"))
@@ -278,13 +303,85 @@ def _with_items(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
     return salted.join(copies, [side, "salt"]).drop("salt")
 
 
-def confirmed_links(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity, with their intersection and union."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialise(full_sets(docs.join(ids, "doc_id", "left_semi"), width))
+def _maybe_listed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that may be in ``ids``: a one-hash Bloom filter of at most FILTER_WORDS rows is broadcast.
+
+    It only saves shuffled text. Full, it lets every row through, and the join after it decides.
+    """
+    word = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS)).alias("_word")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.lit(1), c), F.lit(64)).cast("int"))
+    bits = ids.select(word("doc_id"), bit("doc_id").alias("bit")).groupBy("_word").agg(F.bit_or("bit").alias("_bits"))
+    marked = docs.join(F.broadcast(bits), word("doc_id") == bits["_word"])
+    return marked.filter(F.col("_bits").bitwiseAND(bit(F.col("doc_id"))) != 0).drop("_word", "_bits")
+
+
+def sets_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """Full sets of the documents in the pairs, as a written table."""
+    ids = materialise(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    return materialise(full_sets(_maybe_listed(docs.select("doc_id", "text"), ids).join(ids, "doc_id", "left_semi"), width))
+
+
+def confirmed_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity."""
     both = _with_items(_with_items(pairs, sets, "a"), sets, "b")
     counted = both.select("a", "b", F.size(F.array_intersect("items_a", "items_b")).alias("shared"), (F.size("items_a") + F.size("items_b")).alias("total"))
-    return counted.filter(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared")))
+    return counted.filter(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
+
+
+def shared_counts(sets: list[np.ndarray], cells: int = 1 << 24) -> np.ndarray:
+    """Intersection sizes of all pairs, by products of 0/1 blocks of bounded size."""
+    m = len(sets)
+    names, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    out = np.zeros((m, m), dtype=np.float32)
+    step = max(1, cells // m)
+    for start in range(0, len(names), step):
+        k = slice(*np.searchsorted(at, [start, start + step]))
+        block = np.zeros((m, min(step, len(names) - start)), dtype=np.float32)
+        block[owner[k], at[k] - start] = 1
+        out += block @ block.T
+    return out.astype(np.int64)
+
+
+def _confirm_nodes(percent: int):
+    """Over rows (node, a, component, items) sorted by node: exact links that join components, as a forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in _runs(batches):
+            ids, parts = t.column("a").to_numpy(), t.column("component").to_numpy()
+            sets = [np.asarray(x) for x in t.column("items").to_numpy(zero_copy_only=False)]
+            n = np.array([len(x) for x in sets])
+            shared = shared_counts(sets)
+            linked = (100 * shared >= percent * (n[:, None] + n[None, :] - shared)) & (parts[:, None] != parts[None, :])
+            if not linked.any():
+                continue
+            root = parts.copy()
+            while True:  # each row takes the least component of its links and of its own component
+                least = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(axis=1))
+                name, where = np.unique(parts, return_inverse=True)
+                of_part = np.full(len(name), np.iinfo(np.int64).max)
+                np.minimum.at(of_part, where, least)
+                if (of_part[where] == root).all():
+                    break
+                root = of_part[where]
+            k = np.flatnonzero(root != parts)
+            pairs = np.unique(np.stack([parts[k], root[k]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], ["a", "b"])
+
+    return run
+
+
+def further_links(suspects: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that meet in a node: all its pairs across components, on full sets.
+
+    Most nodes hold one component by now and are left out before any set is moved.
+    """
+    named = materialise(suspects.distinct().join(parts.select(F.col("vertex").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a")))
+    open_nodes = named.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("node")
+    rows = named.join(open_nodes, "node", "left_semi").join(sets.withColumnRenamed("doc_id", "a"), "a")
+    return rows.select("node", "a", "component", "items").repartition("node").sortWithinPartitions("node", "a").mapInArrow(_confirm_nodes(percent), "a long, b long")
 
 
 def near_dedup(docs: DataFrame, *, width: int = 5, percent: int = 80, recall: float = RECALL, node_rows: int = NODE_ROWS, depth: int = DEPTH) -> DataFrame:
@@ -293,8 +390,14 @@ def near_dedup(docs: DataFrame, *, width: int = 5, percent: int = 80, recall: fl
     sets = materialise(describe_sets(docs, width, trees))
     listed = sets.filter(F.col("f0").isNotNull() & F.col("doc_id").isNotNull())
     reps = materialise(listed.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")))
-    pairs = candidate_pairs(reps, trees, percent, node_rows, depth)
-    parts = connected_components(confirmed_links(docs, pairs, width, percent))
+    found = candidate_pairs(reps, trees, percent, node_rows, depth)
+    pairs = materialise(found.filter(F.col("b").isNotNull()).select("a", "b").distinct())
+    sets_of_pairs = sets_of(docs, pairs, width)
+    parts = materialise(connected_components(confirmed_links(pairs, sets_of_pairs, percent)))
+    suspects = found.filter(F.col("b").isNull()).select("node", "a")
+    more = materialise(further_links(suspects, parts, sets_of_pairs, percent))
+    if not more.isEmpty():
+        parts = connected_components(parts.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(more))
     per_class = materialise(reps.select("f0", "f1", "size", "rep").join(parts.select(F.col("vertex").alias("rep"), "component"), "rep", "left").select("f0", "f1", "size", F.coalesce("component", "rep").alias("component_id")))
     out = join_per_key(sets.select("doc_id", "n", "f0", "f1"), per_class, ["f0", "f1"], "size", ["doc_id"])
     least = F.when(F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
