@@ -321,20 +321,21 @@ def decode(page: Page, log_odds: np.ndarray) -> np.ndarray:
     holds = np.zeros(n, dtype=bool)
     for k, *_ in page.runs:
         holds[k] = True
-    kids = np.zeros(n)
-    best_kid = np.full(n, -np.inf)
+    kids = np.zeros(n)  # of the children worth keeping
+    best, best_kid = np.full(n, -np.inf), np.full(n, -1)
     total = np.zeros(n)
     for k in range(n - 1, -1, -1):
-        if holds[k] or best_kid[k] > 0:
-            total[k] = log_odds[k] + kids[k]
-        else:
-            total[k] = log_odds[k] + best_kid[k] if best_kid[k] > -np.inf else -np.inf
-        if parent[k] >= 0:
-            kids[parent[k]] += max(0.0, total[k])
-            best_kid[parent[k]] = max(best_kid[parent[k]], total[k])
+        # without text of its own, a node needs one child, its best, even at a loss
+        total[k] = log_odds[k] + (kids[k] if holds[k] or best[k] > 0 else best[k])
+        if (p := parent[k]) >= 0:
+            kids[p] += max(0.0, total[k])
+            if total[k] > best[p]:
+                best[p], best_kid[p] = total[k], k
     keep = np.zeros(n, dtype=bool)
-    for k in range(n):
-        keep[k] = total[k] > 0 and (parent[k] < 0 or keep[parent[k]])
+    keep[0] = total[0] > 0
+    for k in range(1, n):
+        p = parent[k]
+        keep[k] = keep[p] and (total[k] > 0 or (best_kid[p] == k and not holds[p]))
     return keep
 
 
