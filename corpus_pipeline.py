@@ -17,13 +17,18 @@ from lumenfold.llm import line_dedup, near_dedup, packing, pii, quality
 from lumenfold.llm.common import materialise, table
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """The columns that operators read, and each row as it is, so that no column name can clash."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+
+
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rules = quality.quality_rules(docs, table(spark, sf_dir, "labels"))
-    return quality.apply_rules(docs, rules).filter("kept").select(docs.columns)
+    return quality.apply_rules(whole_rows(docs), rules).filter("kept").select("_row.*")
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(docs).select(docs.columns)
+    return line_dedup.dedup_lines(whole_rows(docs)).select(F.col("_row").withField("text", F.col("text")).alias("_row")).select("_row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def replace_private_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(docs).select(docs.columns)
+    return pii.pseudonymise(whole_rows(docs)).select(F.col("_row").withField("text", F.col("text")).alias("_row")).select("_row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ decisions go back as line positions, one array a document, and the text moves on
 
 Cases. A null or empty text is one empty line. Rows with equal doc_id are one document when
 holders are counted. Rows with null doc_id hold nothing and lose nothing. Repeated rows get equal
-results. Extra columns pass through; the names ``_text_hash`` and ``_drops`` are reserved.
+results. An empty table gives an empty result. Extra columns pass through, but ``n_lines`` and
+``n_dropped`` are replaced, and ``_text_hash`` and ``_drops`` are reserved.
 """
 
 from __future__ import annotations
@@ -64,5 +65,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = 2)
         joined.withColumn("n_lines", F.size(lines_of(F.col("text"))).cast("long"))
         .withColumn("n_dropped", F.when(untouched, 0).otherwise(F.size("_drops")).cast("long"))
         .withColumn("text", F.when(untouched, F.coalesce(F.col("text"), F.lit(""))).otherwise(kept))
-        .select(*docs.columns, "n_lines", "n_dropped")
+        .select(*(c for c in docs.columns if c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")
     )

@@ -1,0 +1,75 @@
+from __future__ import annotations
+
+import datetime as dt
+import re
+
+from pyspark.sql import functions as F
+
+from lumenfold.llm import pii
+
+KEY = "a test key"
+
+
+def change(spark, texts):
+    d = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, n_pseudonyms string")
+    return [(r.text, r.n_pseudonyms) for r in pii.pseudonymise(d, key=KEY).orderBy("doc_id").collect()]
+
+
+def luhn(s):
+    d = [int(c) for c in reversed(re.sub(r"\D", "", s))]
+    return (sum(d[::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])) % 10 == 0
+
+
+def test_formats_stay_and_equal_values_stay_equal(spark):
+    (text, n), (again, m) = change(spark, ["card 4041-8949-7460-8795, ip 42.144.35.254; call +1 (988) 555-2485", "x 4041-8949-7460-8795 42.144.35.254 +1 (988) 555-2485"])
+    assert (n, m) == (3, 3)
+    card = re.search(r"\d{4}-\d{4}-\d{4}-\d{4}", text)[0]
+    ip = re.search(r"\d+\.\d+\.\d+\.\d+", text)[0]
+    phone = re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", text)[0]
+    assert luhn(card) and card != "4041-8949-7460-8795" and all(int(x) < 256 for x in ip.split("."))
+    assert phone[4] >= "2" and phone[9] >= "2"
+    assert all(x in again for x in (card, ip, phone))
+    assert text.startswith("card ") and ", ip " in text and "; call " in text
+
+
+def test_separators_dont_change_a_card(spark):
+    (a, _), (b, _) = change(spark, ["4041894974608795", "4041 8949 7460 8795"])
+    assert a == b.replace(" ", "")
+
+
+def test_dates(spark):
+    out = change(spark, ["on 1987-02-28.", "1987/02/28", "02/28/1987", "28/02/1987", "28.02.1987", "1987-02-30", "2300-01-01", "31.12.1999x"])
+    same = {dt.datetime.strptime(out[k][0].strip("on .") if k == 0 else out[k][0], f).date() for k, f in ((0, "%Y-%m-%d"), (1, "%Y/%m/%d"), (4, "%d.%m.%Y"))}
+    assert len(same) == 1 and same != {dt.date(1987, 2, 28)}
+    assert dt.datetime.strptime(out[2][0], "%m/%d/%Y").date() in same
+    assert dt.datetime.strptime(out[3][0], "%d/%m/%Y").date() in same
+    assert out[5] == ("1987-02-30", 0) and out[6] == ("2300-01-01", 0) and out[7][1] == 1
+
+
+def test_mail_and_social_numbers(spark):
+    (a, n), (b, _), (c, m) = change(spark, ["to bob.42@mail8.example.com", "bob.42@mail8.example.com!", "123-45-6789 000-45-6789 666-45-6789"])
+    assert n == 1 and re.fullmatch(r"to [a-z]{3}\.\d{2}@mail8\.example\.com", a) and "bob.42" not in a and a[3:] == b[:-1]
+    assert m == 1 and c.endswith(" 000-45-6789 666-45-6789") and not c.startswith("123-45-6789")
+
+
+def test_what_isnt_valid_stays(spark):
+    texts = [None, "", "4041894974608796", "300.1.1.1", "v1.2.3", "1.2.3.4.5", "+1 (188) 555-2485", "12345", "a@b", "x" * 100_000]
+    assert change(spark, texts) == [(t, 0) for t in texts]
+
+
+def test_long_text_with_many_values(spark):
+    text = "\n".join(f"é {k} 42.144.35.254 and 4041894974608795" for k in range(2000))
+    (out, n), (again, _) = change(spark, [text, text])
+    assert n == 4000 and out == again and "4041894974608795" not in out and out.count("\n") == 1999
+
+
+def test_permutation_and_inverse(spark):
+    a, b = 21, 13
+    x = spark.range(a * b).select("id", pii.feistel(KEY, "t", F.floor(F.col("id") / b), F.col("id") % b, a, b).alias("m"))
+    back = x.select("id", "m", pii.feistel(KEY, "t", F.col("m.l"), F.col("m.r"), a, b, inverse=True).alias("o")).collect()
+    assert len({(r.m.l, r.m.r) for r in back}) == a * b
+    assert all(0 <= r.m.l < a and 0 <= r.m.r < b and r.o.l * b + r.o.r == r.id for r in back)
+
+
+def test_empty_table(spark):
+    assert change(spark, []) == []
