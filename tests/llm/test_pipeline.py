@@ -22,7 +22,7 @@ def folder(spark, tmp_path):
     """A small corpus: good, bad, doubled and near-copied documents, one with extra columns' names."""
     good = [" ".join(f"w{k}x{j}" for j in range(40)) + f"\nowner line {k} 4041894974608795" for k in range(30)]
     bad = [" ".join(f"w{k}x{j}###" for j in range(40)) for k in range(30)]
-    near = [good[3].replace("w3x20", "changed")]
+    near = [good[3].replace("w3x39", "changed")]
     texts = [*good, *bad, *near, None, "", "shared line of many\n" + good[5].replace("w5", "v5"), "shared line of many\n" + good[6].replace("w6", "u6")]
     rows = [(k, t, "en", "s", None if t is None else len(t), "clash") for k, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_lines string").write.parquet(str(tmp_path / "documents.parquet"))
