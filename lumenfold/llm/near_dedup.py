@@ -8,7 +8,7 @@
    stay together for d levels with chance J^d, which sets the number of trees.
 3. A node still large at ``depth`` holds near-copies of one text. Its smallest class is the pivot:
    all are compared with it, those surely linked to it form its star and need no comparison with
-   one another, and the rest meet every part of the node, part by part. No pair is given up.
+   one another, and the rest meet all rows of the node, block by block. No pair is given up.
 4. A node gives a maximum spanning forest of its candidate pairs, at most one link a row, however
    many near-copies meet there. Forest links are confirmed on the full sets and go to connected
    components.
@@ -247,7 +247,7 @@ def _against_pivot(rows: DataFrame, percent: int) -> DataFrame:
             keep = [c for c in b.schema.names if c not in ("pivot_sketch",)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(same >= least), pa.array(same >= sure)], [*keep, "near", "starred"])
 
-    return rows.mapInArrow(run, "node long, rep long, n long, sketch binary, pivot long, parts int, near boolean, starred boolean")
+    return rows.mapInArrow(run, "node long, rep long, n long, sketch binary, pivot long, near boolean, starred boolean")
 
 
 def _large_nodes(rows: DataFrame, node_rows: int) -> DataFrame:
@@ -281,13 +281,28 @@ def _pivot_pairs(rows: DataFrame, large: DataFrame, percent: int, node_rows: int
     """Pairs of nodes that stay large: star of the pivot, and the rest against every part of the node."""
     pivots = rows.groupBy("node").agg(F.min("rep").alias("pivot"))
     with_sketch = pivots.join(rows.select("node", F.col("rep").alias("pivot"), F.col("sketch").alias("pivot_sketch")), ["node", "pivot"]).dropDuplicates(["node"])
-    per_node = materialise(with_sketch.join(large, "node").withColumn("parts", F.ceil(F.col("rows") / node_rows).cast("int")))
-    met = materialise(_against_pivot(join_per_key(rows.select("node", "rep", "n", "sketch"), per_node, ["node"], "rows", ["rep"]).select("node", "rep", "n", "sketch", "pivot", "parts", "pivot_sketch"), percent))
+    per_node = materialise(with_sketch.join(large, "node"))
+    met = materialise(_against_pivot(join_per_key(rows.select("node", "rep", "n", "sketch"), per_node, ["node"], "rows", ["rep"]).select("node", "rep", "n", "sketch", "pivot", "pivot_sketch"), percent))
     star = met.filter(F.col("near") & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b"), F.lit(None).cast("long").alias("node"))
-    own = F.array(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    parts = F.when(F.col("starred"), own).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    spread = met.withColumn("part", F.explode(parts)).withColumn("node", F.xxhash64("node", "part"))
-    return [star, materialise(_candidates_of(spread, percent))]
+    return [star, materialise(_candidates_of(_cells(met, node_rows), percent))]
+
+
+def _cells(met: DataFrame, node_rows: int) -> DataFrame:
+    """Deal the rows of large nodes to cells of about two blocks, so that every pair meets but star with star.
+
+    Starred rows and the rest are split into blocks of ``node_rows``. A cell is a block of stars and
+    a block of the rest, or two blocks of the rest. A node without a rest has no cell.
+    """
+    blocks = lambda n: F.ceil(F.count_if(n) / node_rows).cast("int")
+    split = materialise(met.groupBy("node").agg(F.count("*").alias("rows"), blocks(F.col("starred")).alias("stars"), blocks(~F.col("starred")).alias("rest")))
+    up_to = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), f)).otherwise(F.array().cast("array<bigint>"))
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(n, F.lit(1))).cast("int")
+    cell = lambda kind, x, y: F.xxhash64("node", F.lit(kind), x, y)
+    stars, rest = F.col("stars"), F.col("rest")
+    of_star = up_to(rest, lambda r: cell(0, own(stars), r))
+    of_rest = F.concat(up_to(stars, lambda p: cell(0, p, own(rest))), up_to(rest, lambda q: cell(1, F.least(q, own(rest)), F.greatest(q, own(rest)))))
+    dealt = join_per_key(met.select("node", "rep", "n", "sketch", "starred"), split, ["node"], "rows", ["rep"])
+    return dealt.withColumn("node", F.explode(F.when(F.col("starred"), of_star).otherwise(of_rest)))
 
 
 # ---------------------------------------------------------------- confirmation
