@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -111,11 +112,17 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+@lru_cache(maxsize=2)
+def codec_of(rank_file: str, pattern: str) -> Codec:
+    """One per Python worker: later tasks find its table of pieces filled."""
+    return Codec(read_ranks(rank_file), pattern)
+
+
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """(doc_id, ids): the token ids of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(read_ranks(rank_file), pattern)
+        codec = codec_of(rank_file, pattern)
         for b in batches:
             ids = [codec.encode(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
@@ -127,7 +134,7 @@ def decode_documents(encoded: DataFrame, rank_file: str, pattern: str) -> DataFr
     """(doc_id, bytes) of (doc_id, ids); null ids decode to no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(read_ranks(rank_file), pattern)
+        codec = codec_of(rank_file, pattern)
         for b in batches:
             found = [codec.decode(ids or []) for ids in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "bytes"])
@@ -142,7 +149,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(read_ranks(rank_file), pattern)
+        codec = codec_of(rank_file, pattern)
         for b in batches:
             counts, of_ids, of_bytes = [], [], []
             for text in b.column("text").to_pylist():
