@@ -52,9 +52,14 @@ def plan(spark: SparkSession, options: Options, entries: DataFrame | None = None
 
 
 def summary(media: DataFrame, unique: DataFrame, kept: DataFrame, merged: DataFrame) -> DataFrame:
-    counts = media.agg(F.count("*").alias("a")).crossJoin(unique.agg(F.count("*").alias("b"))).crossJoin(kept.agg(F.count("*").alias("c")))
-    final = merged.agg(F.count("*").alias("media"), F.count_if(F.col("date_taken").isNull()).alias("undated"))
-    return counts.crossJoin(final).select((F.col("a") - F.col("b")).alias("duplicates"), (F.col("b") - F.col("c")).alias("extras"), "media", "undated")
+    """One row: what each stage left out, and what has no date. Stages are counted in one aggregate."""
+    no = F.lit(False)
+    rows = None
+    for stage, df in enumerate((media, unique, kept, merged)):
+        part = df.select(F.lit(stage).alias("stage"), (F.col("date_taken").isNull() if df is merged else no).alias("bare"))
+        rows = part if rows is None else rows.unionByName(part)
+    n = [F.count_if(F.col("stage") == k) for k in range(4)]
+    return rows.agg((n[0] - n[1]).alias("duplicates"), (n[1] - n[2]).alias("extras"), n[3].alias("media"), F.count_if("bare").alias("undated"))
 
 
 def organise(spark: SparkSession, options: Options, dry_run: bool = True) -> Plan:
