@@ -238,7 +238,7 @@ def labelled_cells(docs: DataFrame, labels: DataFrame, fit_rows: int) -> list[Ce
     return [({n: r[n] for n in cols}, r["bad"], r["good"]) for r in groups.collect() if not r["failed"]]
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000) -> list[Rule]:
+def quality_rules(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 12_000) -> list[Rule]:
     return learn_rules(labelled_cells(docs, labels, fit_rows), list(features()))
 
 
