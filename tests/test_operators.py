@@ -192,7 +192,7 @@ def test_date_chain_accuracy(spark):
 rows_of_media = st.lists(st.tuples(st.sampled_from([None, "A", "B"]), st.sampled_from(["a.jpg", "bb.jpg", "a-edited.jpg"]), st.sampled_from(["x", "y", "zz"])), max_size=15)
 
 
-@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(rows_of_media)
 def test_invariants(spark, rows):
     m = media(spark, [(k, a, n, c, None, None) for k, (a, n, c) in enumerate(rows)])

@@ -151,8 +151,14 @@ def test_scan_sees_everything(spark, tmp_path):
     assert len(names) < 60
     flat = fs_entries(spark, str(tmp_path), recursive=False).collect()
     assert sorted(r.name for r in flat) == ["a", "b"]
-    stored = {r.name for r in entries_in_store(spark, str(tmp_path / "b")).collect()}
-    assert "a b%20#.jpg" in stored and "_x.jpg" not in stored
+
+
+def test_store_listing(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    for n in ("_x.jpg", "a b%20#.jpg"):
+        (tmp_path / "b" / n).write_bytes(b"1")
+    got = {r.name: r.is_dir for r in entries_in_store(spark, str(tmp_path)).collect()}
+    assert got == {"a b%20#.jpg": False, "b": True}
 
 
 def test_exif_of_other_data():
