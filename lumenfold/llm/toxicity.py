@@ -145,8 +145,12 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int
     return w
 
 
-def fit(texts: Sequence[str | None], toxic: Sequence[int], *, steps: int = 60, rate: float = 0.3, decay: float = 1e-3) -> ToxicityModel:
-    """Label tokens, train the field by Adam on its mean log-likelihood, then the document's logistic."""
+def fit(texts: Sequence[str | None], toxic: Sequence[int], *, steps: int = 60, rate: float = 0.3, decay: float = 1e-3, stretch: int = 1000) -> ToxicityModel:
+    """Label tokens, train the field by Adam on its mean log-likelihood, then the document's logistic.
+
+    The field is trained on stretches of at most ``stretch`` tokens, so that one long document
+    doesn't set the number of steps; all tokens count. The logistic sees whole documents.
+    """
     model = ToxicityModel()
     if len(set(toxic)) < 2:
         return model
@@ -160,8 +164,9 @@ def fit(texts: Sequence[str | None], toxic: Sequence[int], *, steps: int = 60, r
     lexicon = token_lexicon(docs, toxic)
     marked = np.array([any(s in lexicon for s in x) for x in slots], dtype=float)
     y = marked[ids] * np.repeat(np.asarray(toxic, dtype=float), lengths)
+    parts = _spread([min(stretch, n - k) for n in lengths.tolist() for k in range(0, n, stretch)])
     inner = np.ones(len(ids), dtype=bool)
-    inner[starts[lengths > 0]] = False
+    inner[parts[0]] = False
     k = np.flatnonzero(inner)
     seen = np.array([[((1 - y[k - 1]) * (1 - y[k])).sum(), ((1 - y[k - 1]) * y[k]).sum()], [(y[k - 1] * (1 - y[k])).sum(), (y[k - 1] * y[k]).sum()]])
     weights, rest = np.zeros(SLOTS), np.concatenate([[model.bias], np.zeros(4)])
@@ -169,7 +174,7 @@ def fit(texts: Sequence[str | None], toxic: Sequence[int], *, steps: int = 60, r
     scale = max(1.0, y.sum())
     for step in range(1, steps + 1):
         emission = np.bincount(owner, weights[flat], minlength=len(slots))
-        p, pair = marginals(emission[ids], starts, lengths, rest[0], rest[1:].reshape(2, 2), pairs=True)
+        p, pair = marginals(emission[ids], *parts, rest[0], rest[1:].reshape(2, 2), pairs=True)
         wrong = y - p
         by_type = np.bincount(ids, wrong, minlength=len(slots))
         grads = (np.bincount(flat, by_type[owner], minlength=SLOTS) / scale - decay * weights, np.concatenate([[wrong.sum() / scale], ((seen - pair) / scale).ravel() - decay * rest[1:]]))
