@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import BLANK, ascii_lower, hash128, join_per_key, let, materialise
+from lumenfold.llm.common import ascii_lower, hash128, join_per_key, let, materialise
 
 MIN_CHARS = 10
 
@@ -25,7 +25,7 @@ def lines_of(text: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    return ascii_lower(F.regexp_replace(line, rf"^[{BLANK}]+|[{BLANK}]+\z", ""))
+    return ascii_lower(F.btrim(line, F.lit(" \t\n\x0b\f\r")))  # linear, also on long runs of blanks
 
 
 def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = 2) -> DataFrame:

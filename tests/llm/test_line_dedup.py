@@ -41,6 +41,11 @@ def test_cases(spark):
     check(spark, [(5, f"{LINE}\nown line of five\n{LINE}"), (3, f" {LINE.upper()}\t\nshort"), (7, None), (8, ""), (9, "\n\n"), (10, long), (11, long), (None, LINE), (3, LINE), (12, "short"), (13, "short"), (12, f"{LINE}x")])
 
 
+def test_blanks(spark):
+    blank = " \t\x0b\x0c\r"
+    check(spark, [(1, f"{blank}a shared line{blank}"), (2, "A SHARED LINE"), (3, "\u00a0a shared line"), (4, "a" + " " * 200_000 + "b"), (5, "x" + blank * 3)])
+
+
 def test_repeated_rows_hold_once(spark):
     check(spark, [(1, "only in document one"), (1, "only in document one")])
 

@@ -63,6 +63,11 @@ def test_long_text_with_many_values(spark):
     assert n == 4000 and out == again and "4041894974608795" not in out and out.count("\n") == 1999
 
 
+def test_endless_domain(spark):
+    ((text, n),) = change(spark, ["bob@host" + ".x" * 50_000])
+    assert n == 1 and not text.startswith("bob") and len(text) == 100_008
+
+
 def test_permutation_and_inverse(spark):
     a, b = 21, 13
     x = spark.range(a * b).select("id", pii.feistel(KEY, "t", F.floor(F.col("id") / b), F.col("id") % b, a, b).alias("m"))
