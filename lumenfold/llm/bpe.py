@@ -35,7 +35,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encoder and decoder for one rank file; ``known_pieces`` bounds the table of encoded pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, known_pieces: int = 400_000, known_length: int = 48):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, known_pieces: int = 1_000_000, known_length: int = 48):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.known: dict[str, bytes] = {}
