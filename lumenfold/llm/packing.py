@@ -137,7 +137,7 @@ class PieceTokenizer:
     pieces is bounded.
     """
 
-    def __init__(self, path: str, pattern: str, known_pieces: int = 1_000_000, known_length: int = 48):
+    def __init__(self, path: str, pattern: str, known_pieces: int = 500_000, known_length: int = 48):
         self.model = Tokenizer.from_file(path).model
         self.split = regex.compile(pattern).findall
         self.letters = byte_letters()
