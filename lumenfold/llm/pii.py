@@ -33,8 +33,9 @@ DATE = r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[
 PHONE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|(?:[0-9]{4} ){3}[0-9]{4}|(?:[0-9]{4}-){3}[0-9]{4}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9])"
 ANY = "|".join((MAIL, ADDRESS, DATE, SOCIAL, PHONE, CARD))
-#: A cheap necessary condition: every kind has an @ or three digits close together.
-HINT = r"@|[0-9](?:[ ./()-]{0,2}[0-9]){6}"
+#: A cheap necessary condition: an address is four numbers between dots, every other kind has an @ or
+#: seven digits close together.
+HINT = r"@|[0-9](?:[ ./()-]{0,2}[0-9]){6}|[0-9](?:\.[0-9]{1,3}){3}"
 
 #: The Gregorian cycle of 400 years from 1800-01-01, 146,097 days = 189 x 773.
 CYCLE_START, CYCLE = "1800-01-01", (189, 773)

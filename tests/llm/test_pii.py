@@ -57,6 +57,16 @@ def test_what_isnt_valid_stays(spark):
     assert change(spark, texts) == [(t, 0) for t in texts]
 
 
+def test_a_value_alone_passes_the_hint(spark):
+    short = ["8.8.8.8", "ping 10.0.0.1 now", "127.0.0.1", "10.1.2.34", "1.2.3.255"]
+    others = ["a@b.c", "1987-02-28", "28.02.1987", "123-45-6789", "(988) 555-2485", "+1 (988) 555-2485", "4041 8949 7460 8795"]
+    alone = change(spark, short + others)
+    linked = change(spark, [f"{t} and a@b.c" for t in short])
+    assert [n for _, n in alone] == [1] * len(short + others)
+    assert [t for t, _ in alone[: len(short)]] == [t.split(" and ")[0] for t, _ in linked]
+    assert all(a != t for (a, _), t in zip(alone, short))
+
+
 def test_long_text_with_many_values(spark):
     text = "\n".join(f"é {k} 42.144.35.254 and 4041894974608795" for k in range(2000))
     (out, n), (again, _) = change(spark, [text, text])
