@@ -4,8 +4,9 @@
    and a sketch of 128 minwise bytes. Texts of equal sets are one class from here on.
 2. In each of several independent trees every class walks down by minwise tokens: the node of a
    class is the path of tokens chosen so far. A node of at most ``node_rows`` classes is compared
-   exhaustively, by sketch; a larger one branches by a further token. Two sets of similarity J
-   stay together for d levels with chance J^d, which sets the number of trees.
+   exhaustively, by sketch; a larger one branches by a further token. A tree has ``depth`` minwise
+   tokens of its own, so trees are independent. Two sets of similarity J share the node of the last
+   level with chance J^depth, which sets the number of trees.
 3. A node still large at ``depth`` holds near-copies of one text. Its smallest class is the pivot:
    all are compared with it, those surely linked to it form its star and need no comparison with
    one another, and the rest meet all rows of the node, block by block. No pair is given up.
@@ -37,18 +38,19 @@ from lumenfold.llm.common import join_per_key, materialise
 from lumenfold.llm.components import connected_components
 
 RECALL, DEPTH, NODE_ROWS = 0.9999, 4, 512
-SKETCH, DEEPER = 128, 16
+SKETCH = 128
 #: In standard deviations of sketch agreement at the similarity sought: a candidate is at most SLACK
 #: below it, a sure link at least SURE above it.
-SLACK, SURE = 4.0, 3.5
+SLACK, SURE = 4.5, 3.5
 #: Words of 64 bits in the filter that keeps texts without candidates from being shuffled.
 FILTER_WORDS = 1 << 17
 #: Pairs of one document that are verified in one place.
 PAIRS_TOGETHER = 2000
 
 
-def plan_trees(percent: int, recall: float = RECALL, levels: int = 3) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** levels))
+def plan_trees(percent: int, recall: float = RECALL, depth: int = DEPTH) -> int:
+    """Trees in one of which a pair at the threshold shares all ``depth`` tokens with chance ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** depth))
 
 
 # ---------------------------------------------------------------- sets of shingles
@@ -88,9 +90,9 @@ class Shingler:
         return np.unique(x)
 
 
-def describe_sets(docs: DataFrame, width: int, trees: int) -> DataFrame:
+def describe_sets(docs: DataFrame, width: int, tokens: int) -> DataFrame:
     """(doc_id, n, f0, f1, tokens, sketch); f0 and f1 name the set, tokens are minwise, one a coordinate."""
-    coords = trees + DEEPER + SKETCH
+    coords = tokens + SKETCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -110,9 +112,9 @@ def describe_sets(docs: DataFrame, width: int, trees: int) -> DataFrame:
                 # the byte folds all bits: minima alone have zero upper bits
                 last = least[-SKETCH:] * np.uint64(0x9E3779B97F4A7C15)
                 rows.append((len(s), f0, f1, least[:-SKETCH].view(np.int64).tolist(), (last >> np.uint64(56)).astype(np.uint8).tobytes()))
-            n, f0, f1, tokens, sketch = zip(*rows) if rows else ((), (), (), (), ())
+            n, f0, f1, minwise, sketch = zip(*rows) if rows else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(f0, pa.int64()), pa.array(f1, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(f0, pa.int64()), pa.array(f1, pa.int64()), pa.array(minwise, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
                 ["doc_id", "n", "f0", "f1", "tokens", "sketch"],
             )
 
@@ -257,7 +259,8 @@ def _large_nodes(rows: DataFrame, node_rows: int) -> DataFrame:
 def candidate_pairs(reps: DataFrame, trees: int, percent: int, node_rows: int, depth: int) -> DataFrame:
     """Of classes (rep, n, tokens, sketch) that meet and look alike: forest links (a, b), a < b, and
     suspects (node, a), where b is null."""
-    rows = reps.select("rep", "n", "sketch", F.slice("tokens", trees + 1, DEEPER).alias("deeper"), F.posexplode(F.slice("tokens", 1, trees)).alias("tree", "token")).withColumn("node", F.xxhash64("tree", "token")).drop("token").withColumn("starred", F.lit(False))
+    paths = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("tokens", t * depth + 1, F.lit(depth)))
+    rows = reps.select("rep", "n", "sketch", F.posexplode(paths).alias("tree", "path")).withColumn("node", F.xxhash64("tree", F.element_at("path", 1))).drop("tree").withColumn("starred", F.lit(False))
     found: list[DataFrame] = []
     for level in range(depth):
         large = _large_nodes(rows, node_rows)
@@ -265,10 +268,9 @@ def candidate_pairs(reps: DataFrame, trees: int, percent: int, node_rows: int, d
         found.append(materialise(_candidates_of(marked.filter(F.col("large").isNull()).drop("large"), percent)))
         if large.isEmpty():
             break
-        token = F.element_at("deeper", F.pmod(F.xxhash64("tree") + level, F.lit(DEEPER)).cast("int") + 1)
         stay = marked.filter(F.col("large"))
         if level < depth - 1:
-            rows = materialise(stay.withColumn("node", F.xxhash64("node", token)).drop("large"))
+            rows = materialise(stay.withColumn("node", F.xxhash64("node", F.element_at("path", level + 2))).drop("large"))
         else:
             found += _pivot_pairs(stay, large, percent, node_rows)
     out = found[0]
@@ -401,8 +403,8 @@ def further_links(suspects: DataFrame, parts: DataFrame, sets: DataFrame, percen
 
 def near_dedup(docs: DataFrame, *, width: int = 5, percent: int = 80, recall: float = RECALL, node_rows: int = NODE_ROWS, depth: int = DEPTH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of (doc_id, text)."""
-    trees = plan_trees(percent, recall)
-    sets = materialise(describe_sets(docs, width, trees))
+    trees = plan_trees(percent, recall, depth)
+    sets = materialise(describe_sets(docs, width, trees * depth))
     listed = sets.filter(F.col("f0").isNotNull() & F.col("doc_id").isNotNull())
     reps = materialise(listed.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")))
     found = candidate_pairs(reps, trees, percent, node_rows, depth)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -131,6 +132,32 @@ def test_documents(spark, width, percent, node_rows, depth):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(sets[i]), c[i], c[i] == i) for i in c}
 
 
+def test_recall_at_the_last_level(spark):
+    """2,000 pairs of similarity 0.85 exactly; nodes of one row at most, so each pair must share ``depth`` tokens."""
+    rows = []
+    for k in range(2000):
+        shared = [f"p{k}w{i}" for i in range(34)]
+        rows += [(2 * k + side, " ".join([*shared, *(f"p{k}s{side}w{i}" for i in range(3))])) for side in (0, 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = near_dedup.near_dedup(d, width=1, percent=85, node_rows=1, depth=4)
+    assert got.filter("doc_id % 2 = 1 AND component_id <> doc_id - 1").count() <= 3
+
+
+def test_trees_follow_recall():
+    for percent, depth in ((85, 4), (80, 4), (80, 2), (85, 1)):
+        trees, apart = near_dedup.plan_trees(percent, 0.9999, depth), 1 - (percent / 100) ** depth
+        assert apart**trees <= 0.0001 < apart ** (trees - 1)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_trees_and_sketch_together_keep_the_recall(percent):
+    j = percent / 100
+    agree, least = j + (1 - j) / 256, near_dedup.agreement_limits(percent)[0]
+    by_sketch = sum(math.comb(near_dedup.SKETCH, k) * agree**k * (1 - agree) ** (near_dedup.SKETCH - k) for k in range(least))
+    by_trees = (1 - j**near_dedup.DEPTH) ** near_dedup.plan_trees(percent)
+    assert by_sketch + by_trees <= 1 - near_dedup.RECALL
+
+
 def test_repeated_and_null_ids(spark):
     rng = random.Random(1)
     text = " ".join(f"w{k}" for k in range(60))
