@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import struct
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,8 +16,6 @@ from lumenfold.options import MAX_READ_BYTES
 
 #: Stands for the digest of a file that is too large to read.
 OVERSIZE_DIGEST = "00"
-#: EXIF stands in the first segments, at most 64 KiB each.
-EXIF_PREFIX = 1 << 18
 
 
 def _digest(path: str) -> str | None:
@@ -59,54 +59,63 @@ def read_text(paths: pd.Series) -> pd.Series:
 IMAGE_DATE, EXIF_POINTER, ORIGINAL_DATE, DIGITISED_DATE = 0x0132, 0x8769, 0x9003, 0x9004
 
 
-def _tiff_dates(data: bytes) -> dict[int, str]:
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or len(data) < 8:
+def _at(f: BinaryIO, at: int, n: int) -> bytes:
+    """Up to ``n`` bytes; the limit, which no file here exceeds, keeps a wrong length from claiming memory."""
+    f.seek(at)
+    return f.read(max(0, min(n, MAX_READ_BYTES)))
+
+
+def _tiff_dates(f: BinaryIO) -> dict[int, str]:
+    """Directories and texts are read where they stand, which may be behind the image data."""
+    head = _at(f, 0, 8)
+    order = {b"II": "<", b"MM": ">"}.get(head[:2])
+    if order is None or len(head) < 8:
         return {}
     found: dict[int, str] = {}
-    waiting, seen = [struct.unpack(f"{order}I", data[4:8])[0]], set()
+    waiting, seen = [struct.unpack(f"{order}I", head[4:])[0]], set()
     while waiting:
         at = waiting.pop()
-        if at in seen or at + 2 > len(data):
+        if at in seen or len(count := _at(f, at, 2)) < 2:
             continue
         seen.add(at)
-        (count,) = struct.unpack_from(f"{order}H", data, at)
-        for k in range(count):
-            entry = at + 2 + 12 * k
-            if entry + 12 > len(data):
-                break
-            tag, kind, n, value = struct.unpack_from(f"{order}HHII", data, entry)
+        entries = f.read(12 * struct.unpack(f"{order}H", count)[0])
+        for k in range(0, len(entries) - 11, 12):
+            tag, kind, n, value = struct.unpack_from(f"{order}HHII", entries, k)
             if tag == EXIF_POINTER:
                 waiting.append(value)
             elif tag in (IMAGE_DATE, ORIGINAL_DATE, DIGITISED_DATE) and kind == 2:
-                start = entry + 8 if n <= 4 else value
-                text = data[start : start + n].split(b"\0")[0].decode("latin-1").strip()
+                text = (entries[k + 8 : k + 8 + n] if n <= 4 else _at(f, value, n)).split(b"\0")[0].decode("latin-1").strip()
                 if text:
                     found.setdefault(tag, text)
     return found
 
 
-def exif_dates(data: bytes) -> dict[int, str]:
-    """Date tags of a JPEG or TIFF, by tag; empty if there are none."""
-    if data[:2] in (b"II", b"MM"):
-        return _tiff_dates(data)
-    if data[:2] != b"\xff\xd8":
+def _dates_in(f: BinaryIO) -> dict[int, str]:
+    start = _at(f, 0, 2)
+    if start in (b"II", b"MM"):
+        return _tiff_dates(f)
+    if start != b"\xff\xd8":
         return {}
     at = 2
-    while at + 4 <= len(data) and data[at] == 0xFF:
-        marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
-        if marker == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
-            return _tiff_dates(data[at + 10 : at + 2 + size])
+    while len(head := _at(f, at, 10)) >= 4 and head[0] == 0xFF:
+        marker, size = head[1], struct.unpack_from(">H", head, 2)[0]
+        if marker == 0xE1 and head[4:] == b"Exif\0\0":
+            return _tiff_dates(io.BytesIO(_at(f, at + 10, size - 8)))
         if marker == 0xDA:
             break
         at += 2 + size
     return {}
 
 
+def exif_dates(data: bytes) -> dict[int, str]:
+    """Date tags of a JPEG or TIFF, by tag; empty if there are none."""
+    return _dates_in(io.BytesIO(data))
+
+
 def _exif_of(path: str) -> dict[int, str]:
     try:
         with open(path, "rb") as f:
-            return exif_dates(f.read(EXIF_PREFIX))
+            return _dates_in(f)
     except (OSError, struct.error):
         return {}
 

@@ -12,7 +12,7 @@ from lumenfold import cli
 from lumenfold.options import Options
 from lumenfold.plans.execute import free_bytes
 from lumenfold.plans.organise import NothingFound, fix, organise, plan
-from lumenfold.sources.content import exif_dates
+from lumenfold.sources.content import exif_dates, with_exif_dates
 from lumenfold.sources.filesystem import entries_in_store, fs_entries
 
 
@@ -166,6 +166,18 @@ def test_exif_of_other_data():
     assert exif_dates(jpeg("2022:12:16 16:06:47")) == {0x9003: "2022:12:16 16:06:47"}
 
 
+def test_exif_far_into_the_file(spark, tmp_path):
+    date, gap = b"2022:12:16 16:06:47\0", b"\0" * 300_000
+    at = 8 + len(gap)
+    tiff = b"II*\0" + struct.pack("<I", at) + gap + struct.pack("<HHHIII", 1, 0x0132, 2, len(date), at + 18, 0) + date
+    (tmp_path / "late.tif").write_bytes(tiff)
+    segments = (b"\xff\xe2" + struct.pack(">H", 65_535) + b"\0" * 65_533) * 5
+    late = jpeg("2019:03:07 03:05:06")
+    (tmp_path / "late.jpg").write_bytes(late[:2] + segments + late[2:])
+    files = spark.createDataFrame([(str(tmp_path / n),) for n in ("late.jpg", "late.tif")], "path string")
+    assert [r.exif_raw for r in with_exif_dates(files).orderBy("path").collect()] == ["2019:03:07 03:05:06", "2022:12:16 16:06:47"]
+
+
 def test_command_line(spark, tree, capsys):
     out = str(tree / "out")
     assert cli.main(["--input", str(tree / "in")], spark) == 10
