@@ -9,14 +9,19 @@ Packing is local to a task: documents are tokenised and packed where they are re
 shuffle, in blocks of bounded size. What is left of a block joins the next one. A repeated task
 reads the same rows in the same order and makes the same sequences.
 
+Training steps are balanced over the whole table: the pieces are written once, windows are counted
+by task and tier, and each window's place among all windows of its tier names its step. So every
+step of a tier holds equally many windows, but for the tier's last.
+
 Cases. A null or empty text is the closing id alone. A null doc_id is packed like any other.
-Repeated rows are packed once each. Very long texts are cut into windows. An empty table gives an
-empty result.
+Repeated rows are packed once each. Very long texts are cut into windows, and endless runs of one
+kind of character are encoded whole. The string of a special token gets that token's id, as the
+tokenizer file's library does by default. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import struct
+import json
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
@@ -25,16 +30,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lumenfold.llm.common import materialise
+
 TIERS = (256, 512, 1024, 2048)
 #: Tokens that are packed together, and tokens in one training step.
 BLOCK_TOKENS = 1 << 21
 STEP_TOKENS = 1 << 15
+#: Windows of a task are numbered in the lower bits of sequence_id.
+TASK_BITS = 36
+#: Window counts, one a task and tier, are broadcast up to this many rows, and joined by a shuffle beyond it.
+BROADCAST_ROWS = 200_000
 
 
 @dataclass(order=True)
@@ -108,20 +119,28 @@ def pack(lengths: list[tuple[int, int, int]], tiers: tuple[int, ...], last: bool
     return windows, []
 
 
-def step_groups(windows: list[tuple[int, list[Item]]], step_tokens: int, counts: dict[int, int]) -> list[int]:
-    """Number of the step, within its tier, of each window: every step of a tier has as many windows.
-
-    ``counts`` carries the windows so far from block to block. Real tokens are balanced too, since
-    windows are full.
-    """
+def window_numbers(windows: list[tuple[int, list[Item]]], counts: dict[int, int]) -> list[int]:
+    """Number of each window within its tier; ``counts`` carries the windows so far from block to block."""
     out = []
     for tier, _ in windows:
-        n = counts.get(tier, 0)
-        counts[tier] = n + 1
-        out.append(n // max(1, step_tokens // tier))
+        out.append(counts.get(tier, 0))
+        counts[tier] = out[-1] + 1
     return out
 
 
+def with_steps(packed: DataFrame, step_tokens: int) -> DataFrame:
+    """``step`` for ``window``, over a written table: the windows of a tier, task after task, in groups of ``step_tokens``."""
+    rows = packed.withColumn("_task", F.shiftright("sequence_id", TASK_BITS))
+    made = rows.groupBy("_task", "tier").agg((F.max("window") + 1).alias("made"))
+    earlier = Window.partitionBy("tier").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    # the window function sees one row a task and tier, not the pieces
+    before = materialise(made.withColumn("before", F.coalesce(F.sum("made").over(earlier), F.lit(0))).drop("made"))
+    if before.count() <= BROADCAST_ROWS:
+        before = F.broadcast(before)
+    place = F.col("before") + F.col("window")
+    return rows.join(before, ["_task", "tier"]).withColumn("step", F.floor(place * F.col("tier") / max(step_tokens, 1)).cast("long"))
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1, then from 256 on."""
     plain = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
@@ -129,53 +148,49 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-class PieceTokenizer:
-    """Ids of the ``tokenizers`` file, looked up piece by piece: equal pieces are encoded once.
+class FileTokenizer:
+    """Ids of the ``tokenizers`` file with ``add_special_tokens=False``, as packed 32-bit integers.
 
-    Byte-level BPE never merges across the pieces of its own pre-tokeniser, so ids of pieces
-    concatenate to the ids of the text. Strings of special tokens are ordinary text. The table of
-    pieces is bounded.
+    The file's vocabulary is handed to a faster byte-level encoder, which splits by the same pattern
+    and merges by the same ranks; a byte-level vocabulary numbers its merges in order. A text
+    that the encoder refuses (its pattern has a limit of its own) goes to the file's own library.
     """
 
-    def __init__(self, path: str, pattern: str, known_pieces: int = 500_000, known_length: int = 48):
-        self.model = Tokenizer.from_file(path).model
-        self.split = regex.compile(pattern).findall
-        self.letters = byte_letters()
-        self.known: dict[str, bytes] = {}
-        self.known_pieces, self.known_length = known_pieces, known_length
-
-    def _learn(self, piece: str) -> bytes:
-        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-        ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-        if len(piece) <= self.known_length:
-            if len(self.known) >= self.known_pieces:
-                self.known.clear()
-            self.known[piece] = ids
-        return ids
+    def __init__(self, path: str, pattern: str):
+        self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)
+        byte_of = {letter: b for b, letter in byte_letters().items()}
+        special = {t["content"]: t["id"] for t in found["added_tokens"]}
+        ranks = {bytes(byte_of[c] for c in word): i for word, i in found["model"]["vocab"].items() if word not in special}
+        self.native = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        self.special = set(special)
 
     def __call__(self, text: str) -> bytes:
-        known, learn = self.known.get, self._learn
-        return b"".join([known(p) or learn(p) for p in self.split(text)])
+        try:
+            return self.native.encode_to_numpy(text, allowed_special=self.special, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        except ValueError:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
-def piece_tokenizer(path: str, pattern: str) -> PieceTokenizer:
-    """One per Python worker: later tasks find its table of pieces filled."""
-    return PieceTokenizer(path, pattern)
+def file_tokenizer(path: str, pattern: str) -> FileTokenizer:
+    """One per Python worker, which later tasks find ready."""
+    return FileTokenizer(path, pattern)
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, pattern: str, *, tiers: tuple[int, ...] = TIERS, end_id: int = 1, block_tokens: int = BLOCK_TOKENS, step_tokens: int = STEP_TOKENS, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step.
 
     ``with_ids`` adds the piece's token ids. sequence_id holds the task's number in its upper bits;
-    a step is named by (task, tier, step).
+    a step is named by (tier, step).
     """
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenize: Callable[[str], bytes] = piece_tokenizer(tokenizer_file, pattern)
+        tokenize: Callable[[str], bytes] = file_tokenizer(tokenizer_file, pattern)
         context = TaskContext.get()
-        base, made, counts = (context.partitionId() if context else 0) << 36, 0, {}
+        base, made, counts = (context.partitionId() if context else 0) << TASK_BITS, 0, {}
         names: dict[int, tuple] = {}
         waiting: list[tuple[int, int, int]] = []
         size, serial = 0, 0
@@ -183,13 +198,13 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, pattern: str, *, tiers:
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal made, waiting, names, size
             windows, left = pack(waiting, tiers, last)
-            steps, rows = step_groups(windows, step_tokens, counts), []
-            for (tier, items), step in zip(windows, steps):
+            rows = []
+            for (tier, items), number in zip(windows, window_numbers(windows, counts)):
                 offset = 0
                 for x in items:
                     doc_id, packed = names[x.doc]
                     ids = packed[4 * x.start : 4 * (x.start + x.length)]
-                    rows.append((doc_id, x.start, x.length, zlib.crc32(ids), len(packed) // 4, base + made, offset, tier, step) + ((np.frombuffer(ids, dtype="<u4").astype("int64"),) if with_ids else ()))
+                    rows.append((doc_id, x.start, x.length, zlib.crc32(ids), len(packed) // 4, base + made, offset, tier, number) + ((np.frombuffer(ids, dtype="<u4").astype("int64"),) if with_ids else ()))
                     offset += x.length
                 made += 1
             waiting = [(x.doc, x.start, x.length) for x in left]
@@ -209,8 +224,9 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, pattern: str, *, tiers:
                     yield from flush(False)
         yield from flush(True)
 
-    fields = [(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("tier", pa.int32()), ("step", pa.int64())]
+    fields = [(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("tier", pa.int32()), ("window", pa.int64())]
     schema = ", ".join(f"{n} {'int' if kind == pa.int32() else 'long'}" for n, kind in fields)
     if with_ids:
         fields, schema = [*fields, ("ids", pa.list_(pa.int64()))], f"{schema}, ids array<long>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    packed = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema))
+    return with_steps(packed, step_tokens).select(*("step" if n == "window" else n for n, _ in fields))

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -13,7 +14,6 @@ from lumenfold.llm import packing
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(FILE)
-LIBRARY.encode_special_tokens = True
 
 
 @settings(max_examples=200, deadline=None)
@@ -40,7 +40,7 @@ def test_every_id_lies_in_one_piece(lengths, last):
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.one_of(st.sampled_from("the and \n\t'sß漢😀0#<|endoftext|>\x1c\x85"), st.characters(exclude_categories=["Cs"]))))
 def test_tokens_like_the_library(text):
-    packed = packing.piece_tokenizer(FILE, public_tokenizers.PATTERN)(text)
+    packed = packing.file_tokenizer(FILE, public_tokenizers.PATTERN)(text)
     assert np.frombuffer(packed, dtype="<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
@@ -78,7 +78,43 @@ def test_null_id_and_empty_table(spark, docs):
     assert packing.pack_documents(docs([]), FILE, public_tokenizers.PATTERN).count() == 0
 
 
-def test_steps_of_a_tier_hold_as_many_tokens():
+def test_every_code_point_like_the_library():
+    tokenizer = packing.file_tokenizer(FILE, public_tokenizers.PATTERN)
+    for start in range(0, 0x110000, 256):
+        text = "".join(f"{c}a {c}1{c}{c} x{c} \n" for c in map(chr, range(start, start + 256)) if not "\ud800" <= c <= "\udfff")
+        assert np.frombuffer(tokenizer(text), dtype="<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_every_word_of_the_vocabulary_is_reached_by_merges():
+    letters, model = packing.byte_letters(), LIBRARY.model
+    for word, i in LIBRARY.get_vocab(with_added_tokens=False).items():
+        assert [t.id for t in model.tokenize(word)] == [i]
+    assert len(set(letters.values())) == 256
+
+
+@pytest.mark.parametrize("text", [" " * 1_500_000 + "x", "ab" * 50_000, "#!" * 50_000, "\n" * 200_000, "a<|endoftext|><|endoftext|> b"])
+def test_long_runs_and_special_strings(text):
+    packed = packing.file_tokenizer(FILE, public_tokenizers.PATTERN)(text)
+    assert np.frombuffer(packed, dtype="<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_windows_are_numbered_by_tier():
     counts: dict[int, int] = {}
-    windows = [(t, []) for t in (256, 2048, 256, 256, 256, 2048, 256)]
-    assert packing.step_groups(windows, 1024, counts) == [0, 0, 0, 0, 0, 1, 1]
+    windows = [(t, []) for t in (256, 2048, 256, 256, 2048)]
+    assert packing.window_numbers(windows, counts) == [0, 0, 1, 2, 1]
+    assert packing.window_numbers([(256, [])], counts) == [3]
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_steps_are_balanced_over_all_tasks(spark, docs, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", broadcast_rows)
+    d = docs([f"document {k} " * (k % 190) for k in range(400)]).repartition(4)
+    got = packing.pack_documents(d, FILE, public_tokenizers.PATTERN, step_tokens=4096, block_tokens=5000).collect()
+    assert len({r.sequence_id >> packing.TASK_BITS for r in got}) == 4
+    held = defaultdict(set)
+    for r in got:
+        held[r.tier, r.step].add(r.sequence_id)
+    for tier in packing.TIERS:
+        steps = sorted(k for t, k in held if t == tier)
+        assert steps == list(range(len(steps)))
+        assert all(len(held[tier, k]) == 4096 // tier for k in steps[:-1])
