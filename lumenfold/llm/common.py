@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.skew import join_per_key  # noqa: F401, shared with the operators here
+
 #: ASCII white space, as in every contract of this subpackage.
 BLANK = r"\x20\x09-\x0D"
 WORD_BREAK = rf"[{BLANK}]+"
@@ -55,27 +57,6 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-#: A key is heavy if it holds more than this share of all rows; so there are at most 1,000 of them.
-HEAVY_SHARE = 1000
-
-
-def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str, spread: list[str]) -> DataFrame:
-    """Left join of ``rows`` with one row per key, without a task that gets a heavy key's rows.
-
-    ``per_key`` is a written table whose ``count`` is the number of ``rows`` of each key. Heavy
-    keys, at most HEAVY_SHARE by definition, are broadcast; their rows are then dealt by
-    ``spread`` through the shuffled join of the rest, where they match nothing.
-    """
-    values = [c for c in per_key.columns if c not in keys and c != count]
-    total = per_key.agg(F.sum(count)).first()[0] or 0
-    is_heavy = F.col(count) * HEAVY_SHARE > total
-    heavy = per_key.filter(is_heavy).select(*keys, *(F.col(v).alias(f"_heavy_{v}") for v in values), F.lit(True).alias("_heavy"))
-    light = per_key.filter(~is_heavy).select(*keys, F.lit(0).alias("_salt"), *values)
-    dealt = rows.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64(*spread), F.lit(1 << 20)).cast("int") + 1).otherwise(0))
-    joined = dealt.join(light, [*keys, "_salt"], "left")
-    return joined.select(*rows.columns, *(F.coalesce(f"_heavy_{v}", v).alias(v) for v in values))
-
-
 _written: list[str] = []
 
 

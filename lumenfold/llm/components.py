@@ -1,8 +1,9 @@
 """Distributed connected components: alternating large-star and small-star rounds on an edge table.
 
-Each round is a map-side combined minimum per vertex and a join back on the vertex; no vertex's
-neighbours meet in one task. Rounds are written to the shared folder, so neither lineage nor a
-lost executor costs earlier rounds. Nothing but two checksums reaches the driver.
+Each round is a map-side combined minimum per vertex and a join back on the vertex. Where a vertex
+holds a large share of all edges, its minimum is broadcast and its edges stay dealt out, so no
+vertex's neighbours meet in one task. Rounds are written to the shared folder, so neither lineage nor
+a lost executor costs earlier rounds. Nothing but counts and a checksum reaches the driver.
 """
 
 from __future__ import annotations
@@ -10,14 +11,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import materialise
+from lumenfold.llm.common import join_per_key, materialise
+from lumenfold.skew import has_heavy
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: (a, b) with b < a. Large star looks at both directions, small star at the smaller side."""
+def _least(seen: DataFrame) -> DataFrame:
+    return seen.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "a"))
+
+
+def _meet(seen: DataFrame, least: DataFrame, total: int | None) -> DataFrame:
+    """Every edge with the least vertex around its ``a``."""
+    return seen.join(least.drop("n"), "a") if total is None else join_per_key(seen, least, ["a"], "n", ["b"], total)
+
+
+def _star(edges: DataFrame, large: bool, total: int | None) -> DataFrame:
+    """edges: (a, b) with b < a. Large star looks at both directions, small star at the smaller side.
+
+    ``total``, if given, bounds the edges seen, of which some vertex holds a large share.
+    """
     seen = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = seen.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-    met = seen.join(least, "a")
+    least = _least(seen)
+    met = _meet(seen, least, total)
     if large:
         out = met.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -25,9 +39,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("a") != F.col("b")).distinct()
 
 
-def _checksum(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _measure(edges: DataFrame) -> tuple[int, int | None, int | None]:
+    """Edges, checksum, and the most edges of one vertex. Degrees are counted with a map-side combine."""
+    ends = edges.select("a", F.xxhash64("a", "b").cast("decimal(38,0)").alias("h")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).cast("decimal(38,0)").alias("h")))
+    row = ends.groupBy("a").agg(F.count("*").alias("n"), F.sum("h").alias("h")).agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.max("n").alias("most")).first()
+    return (row["n"] or 0) // 2, row["h"], row["most"]
 
 
 def connected_components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -38,10 +54,11 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
     """
     l, r = F.col(left).cast("long"), F.col(right).cast("long")
     edges = materialise(links.filter(l.isNotNull() & r.isNotNull() & (l != r)).select(F.greatest(l, r).alias("a"), F.least(l, r).alias("b")).distinct())
-    known = _checksum(edges)
+    known = _measure(edges)
     while known[0]:
-        edges = materialise(_star(_star(edges, True), False))
-        now = _checksum(edges)
+        total = 2 * known[0] if has_heavy(known[2], 2 * known[0]) else None
+        edges = materialise(_star(_star(edges, True, total), False, total))
+        now = _measure(edges)
         if now == known:
             break
         known = now

@@ -7,9 +7,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenfold.llm import embedding_dedup, near_dedup
-from lumenfold.llm.components import connected_components
+from lumenfold.llm.components import _least, _meet, connected_components
 
 
 def components(vertices, links):
@@ -41,6 +42,23 @@ def test_random_components(spark):
     assert got == components({v for x in real for v in x}, real)
 
 
+@pytest.mark.parametrize("hub", [0, 5000])
+def test_a_hub_is_dealt_out(spark, hub):
+    """A vertex with nearly all edges, as the smallest and as the largest of its component."""
+    links = [(hub, k) for k in range(1, 3000)] + [(9000 + k, 9001 + k) for k in range(20)]
+    d = spark.createDataFrame(links, "a long, b long").repartition(8)
+    assert {r.vertex: r.component for r in connected_components(d).collect()} == components({v for x in links for v in x}, links)
+    seen = d.unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        most = [max(r["count"] for r in _meet(seen, _least(seen), t).groupBy(F.spark_partition_id()).count().collect()) for t in (None, 2 * len(links))]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert most[1] < 2000 < 2999 < most[0]
+
+
 # ---------------------------------------------------------------- embeddings
 
 
