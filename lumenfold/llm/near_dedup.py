@@ -8,8 +8,8 @@
    tokens of its own, so trees are independent. Two sets of similarity J share the node of the last
    level with chance J^depth, which sets the number of trees.
 3. A node still large at ``depth`` holds near-copies of one text. Its smallest class is the pivot:
-   all are compared with it, those surely linked to it form its star and need no comparison with
-   one another, and the rest meet all rows of the node, block by block. No pair is given up.
+   all are compared with it, by sketch and then on the full sets. Those linked to it form its star
+   and need no comparison with one another; the rest meet all rows of the node, block by block.
 4. A node gives a maximum spanning forest of its candidate pairs, at most one link a row, however
    many near-copies meet there. Forest links are confirmed on the full sets and go to connected
    components.
@@ -39,13 +39,14 @@ from lumenfold.llm.components import connected_components
 
 RECALL, DEPTH, NODE_ROWS = 0.9999, 4, 512
 SKETCH = 128
-#: In standard deviations of sketch agreement at the similarity sought: a candidate is at most SLACK
-#: below it, a sure link at least SURE above it.
-SLACK, SURE = 4.5, 3.5
-#: Words of 64 bits in the filter that keeps texts without candidates from being shuffled.
-FILTER_WORDS = 1 << 17
+#: A candidate's sketch agreement is at most so many standard deviations below that of the similarity sought.
+SLACK = 4.5
+#: Bits per id, and most words of 64 bits, of the filter that keeps texts without candidates from being shuffled.
+FILTER_BITS, FILTER_WORDS = 8, 1 << 20
 #: Pairs of one document that are verified in one place.
 PAIRS_TOGETHER = 2000
+#: Shingles of a node that are compared at once.
+ITEMS_TOGETHER = 1 << 22
 
 
 def plan_trees(percent: int, recall: float = RECALL, depth: int = DEPTH) -> int:
@@ -122,25 +123,24 @@ def describe_sets(docs: DataFrame, width: int, tokens: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, items) with all shingle hashes."""
+    """(doc_id, n, items) with all shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for b in batches:
             items = [shingler(t).view(np.int64) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "items"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "n", "items"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, items array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, items array<long>")
 
 
 # ---------------------------------------------------------------- nodes
 
 
-def agreement_limits(percent: int) -> tuple[int, int]:
-    """Least agreeing sketch bytes of a candidate, and of a sure link."""
+def least_agreement(percent: int) -> int:
+    """Least agreeing sketch bytes of a candidate."""
     j = percent / 100
-    sd = math.sqrt(j * (1 - j) / SKETCH)
-    return math.floor(SKETCH * (j - SLACK * sd)), math.ceil(SKETCH * min(1.0, j + SURE * sd))
+    return math.floor(SKETCH * (j - SLACK * math.sqrt(j * (1 - j) / SKETCH)))
 
 
 def _forest_of_node(ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, starred: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,7 +150,7 @@ def _forest_of_node(ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, starred:
     Starred rows need no pair with each other. Rows are compared one against the rest, so memory is
     linear in the node.
     """
-    least, _ = agreement_limits(percent)
+    least = least_agreement(percent)
     m = len(ids)
 
     def row(i: int) -> np.ndarray:
@@ -185,20 +185,21 @@ def _forest_of_node(ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, starred:
     return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64), ids[suspect] if suspect.sum() > 2 else ids[:0]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], key: str = "node") -> Iterator[tuple[int, pa.Table]]:
-    """Whole groups of batches that are sorted by ``key``."""
+def _runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """Whole groups of batches that are sorted by ``keys``."""
     held: list[pa.RecordBatch] = []
     now = None
     for b in batches:
-        keys = b.column(key).to_numpy()
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        if not b.num_rows:
+            continue
+        names = np.stack([b.column(k).to_numpy() for k in keys], axis=1)
+        cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), len(names)]
         for start, stop in zip(cuts, cuts[1:]):
-            if start == stop:
-                continue
-            if held and keys[start] != now:
+            name = tuple(names[start].tolist())
+            if held and name != now:
                 yield now, pa.Table.from_batches(held)
                 held = []
-            now = keys[start]
+            now = name
             held.append(b.slice(start, stop - start))
     if held:
         yield now, pa.Table.from_batches(held)
@@ -215,7 +216,7 @@ def _compare_nodes(percent: int, rows_together: int = 20_000):
             for x in (a, b, node):
                 x.clear()
 
-        for key, t in _runs(batches):
+        for (key,), t in _runs(batches, "node"):
             if t.num_rows < 2:
                 continue
             ids, n, starred = (t.column(c).to_numpy() for c in ("rep", "n", "starred"))
@@ -237,56 +238,68 @@ def _candidates_of(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _against_pivot(rows: DataFrame, percent: int) -> DataFrame:
-    """Add ``near`` and ``starred``: possibly and surely linked to the node's pivot."""
-    least, sure = agreement_limits(percent)
+    """Add ``near``: whether the sketch may be linked to that of the node's pivot."""
+    least = least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             a, p = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(b.num_rows, SKETCH) for c in ("sketch", "pivot_sketch"))
-            same = (a == p).sum(axis=1)
-            keep = [c for c in b.schema.names if c not in ("pivot_sketch",)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(same >= least), pa.array(same >= sure)], [*keep, "near", "starred"])
+            keep = [c for c in b.schema.names if c != "pivot_sketch"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array((a == p).sum(axis=1) >= least)], [*keep, "near"])
 
-    return rows.mapInArrow(run, "node long, rep long, n long, sketch binary, pivot long, near boolean, starred boolean")
+    return rows.mapInArrow(run, "node long, rep long, n long, sketch binary, pivot long, near boolean")
 
 
 def _large_nodes(rows: DataFrame, node_rows: int) -> DataFrame:
     return materialise(rows.groupBy("node").agg(F.count("*").alias("rows")).filter(F.col("rows") > node_rows))
 
 
-def candidate_pairs(reps: DataFrame, trees: int, percent: int, node_rows: int, depth: int) -> DataFrame:
+def candidate_pairs(reps: DataFrame, trees: int, percent: int, node_rows: int, depth: int) -> tuple[DataFrame, DataFrame | None]:
     """Of classes (rep, n, tokens, sketch) that meet and look alike: forest links (a, b), a < b, and
-    suspects (node, a), where b is null."""
+    suspects (node, a), where b is null; and the rows of nodes that stay large, beside their pivots."""
     paths = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("tokens", t * depth + 1, F.lit(depth)))
     rows = reps.select("rep", "n", "sketch", F.posexplode(paths).alias("tree", "path")).withColumn("node", F.xxhash64("tree", F.element_at("path", 1))).drop("tree").withColumn("starred", F.lit(False))
-    found: list[DataFrame] = []
+    found, met = None, None
     for level in range(depth):
         large = _large_nodes(rows, node_rows)
-        marked = join_per_key(rows, large.withColumn("large", F.lit(True)), ["node"], "rows", ["rep"])
-        found.append(materialise(_candidates_of(marked.filter(F.col("large").isNull()).drop("large"), percent)))
-        if large.isEmpty():
+        some = not large.isEmpty()
+        marked = join_per_key(rows, large.withColumn("large", F.lit(True)), ["node"], "rows", ["rep"]) if some else rows
+        small = marked.filter(F.col("large").isNull()).drop("large") if some else rows
+        pairs = materialise(_candidates_of(small, percent))
+        found = pairs if found is None else found.unionByName(pairs)
+        if not some:
             break
         stay = marked.filter(F.col("large"))
         if level < depth - 1:
             rows = materialise(stay.withColumn("node", F.xxhash64("node", F.element_at("path", level + 2))).drop("large"))
         else:
-            found += _pivot_pairs(stay, large, percent, node_rows)
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+            met = _beside_pivots(stay, large, percent)
+    return found, met
 
 
-def _pivot_pairs(rows: DataFrame, large: DataFrame, percent: int, node_rows: int) -> list[DataFrame]:
-    """Pairs of nodes that stay large: star of the pivot, and the rest against every part of the node."""
+def _beside_pivots(rows: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     pivots = rows.groupBy("node").agg(F.min("rep").alias("pivot"))
     with_sketch = pivots.join(rows.select("node", F.col("rep").alias("pivot"), F.col("sketch").alias("pivot_sketch")), ["node", "pivot"]).dropDuplicates(["node"])
     per_node = materialise(with_sketch.join(large, "node"))
-    met = materialise(_against_pivot(join_per_key(rows.select("node", "rep", "n", "sketch"), per_node, ["node"], "rows", ["rep"]).select("node", "rep", "n", "sketch", "pivot", "pivot_sketch"), percent))
-    star = met.filter(F.col("near") & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b"), F.lit(None).cast("long").alias("node"))
-    return [star, materialise(_candidates_of(_cells(met, node_rows), percent))]
+    beside = join_per_key(rows.select("node", "rep", "n", "sketch"), per_node, ["node"], "rows", ["rep"])
+    return materialise(_against_pivot(beside.select("node", "rep", "n", "sketch", "pivot", "pivot_sketch"), percent))
+
+
+def star_links(docs: DataFrame, met: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of pivots that hold on the full sets, and those sets."""
+    looked_at = materialise(met.filter(F.col("near") & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
+    sets = sets_of(docs, looked_at, width)
+    return materialise(confirmed_links(looked_at, sets, percent)), sets
+
+
+def rest_pairs(met: DataFrame, star: DataFrame, percent: int, node_rows: int) -> DataFrame:
+    """Candidates, as of ``candidate_pairs``, of large nodes' rows outside the star among all rows."""
+    linked = star.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), F.lit(True).alias("_linked"))
+    starred = F.col("_linked").isNotNull() | (F.col("rep") == F.col("pivot"))
+    marked = materialise(met.join(linked, ["pivot", "rep"], "left").select("node", "rep", "n", "sketch", starred.alias("starred")))
+    return materialise(_candidates_of(_cells(marked, node_rows), percent))
 
 
 def _cells(met: DataFrame, node_rows: int) -> DataFrame:
@@ -320,22 +333,34 @@ def _with_items(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
     return salted.join(copies, [side, "salt"]).drop("salt")
 
 
+def filter_words(n: int) -> int | None:
+    """Words for ``n`` ids at FILTER_BITS bits each; None where that is more than a broadcast should hold."""
+    words = 1 << max(6, math.ceil(math.log2(max(1, n) * FILTER_BITS / 64)))
+    return words if words <= FILTER_WORDS else None
+
+
 def _maybe_listed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that may be in ``ids``: a one-hash Bloom filter of at most FILTER_WORDS rows is broadcast.
+    """Rows of ``docs`` that may be in ``ids``, a written table, by a broadcast one-hash Bloom filter.
 
-    It only saves shuffled text. Full, it lets every row through, and the join after it decides.
+    It only saves shuffled text; the join after it decides. It has filter_words(ids) rows, and where
+    those would be too many there is no filter.
     """
-    word = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS)).alias("_word")
+    words = filter_words(ids.count())
+    if words is None:
+        return docs
+    word = lambda c: F.pmod(F.xxhash64(c), F.lit(words)).alias("_word")
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.lit(1), c), F.lit(64)).cast("int"))
     bits = ids.select(word("doc_id"), bit("doc_id").alias("bit")).groupBy("_word").agg(F.bit_or("bit").alias("_bits"))
     marked = docs.join(F.broadcast(bits), word("doc_id") == bits["_word"])
     return marked.filter(F.col("_bits").bitwiseAND(bit(F.col("doc_id"))) != 0).drop("_word", "_bits")
 
 
-def sets_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """Full sets of the documents in the pairs, as a written table."""
-    ids = materialise(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    return materialise(full_sets(_maybe_listed(docs.select("doc_id", "text"), ids).join(ids, "doc_id", "left_semi"), width))
+def sets_of(docs: DataFrame, pairs: DataFrame, width: int, known: DataFrame | None = None) -> DataFrame:
+    """Full sets of the documents in the pairs, as a written table; those ``known`` aren't made again."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ids = materialise(ids if known is None else ids.join(known.select("doc_id"), "doc_id", "left_anti"))
+    made = materialise(full_sets(_maybe_listed(docs.select("doc_id", "text"), ids).join(ids, "doc_id", "left_semi"), width))
+    return made if known is None else made.unionByName(known)
 
 
 def confirmed_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -362,30 +387,43 @@ def shared_counts(sets: list[np.ndarray], cells: int = 1 << 24) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _joined_components(ids: np.ndarray, parts: np.ndarray, n: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs (component, least component it is linked to) of a node's rows."""
+    linked = (100 * shared >= percent * (n[:, None] + n[None, :] - shared)) & (parts[:, None] != parts[None, :])
+    root = parts.copy()
+    while linked.any():  # each row takes the least component of its links and of its own component
+        least = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(axis=1))
+        name, where = np.unique(parts, return_inverse=True)
+        of_part = np.full(len(name), np.iinfo(np.int64).max)
+        np.minimum.at(of_part, where, least)
+        if (of_part[where] == root).all():
+            break
+        root = of_part[where]
+    k = np.flatnonzero(root != parts)
+    return np.unique(np.stack([parts[k], root[k]], axis=1), axis=0)
+
+
 def _confirm_nodes(percent: int):
-    """Over rows (node, a, component, items) sorted by node: exact links that join components, as a forest."""
+    """Over rows (node, part, a, component, n, items) sorted by these: exact links that join components, as a forest.
+
+    A part holds the shingles of all rows of a node whose hashes fall there; intersections add up
+    over parts, so no more than a part's shingles are held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in _runs(batches):
-            ids, parts = t.column("a").to_numpy(), t.column("component").to_numpy()
-            sets = [np.asarray(x) for x in t.column("items").to_numpy(zero_copy_only=False)]
-            n = np.array([len(x) for x in sets])
-            shared = shared_counts(sets)
-            linked = (100 * shared >= percent * (n[:, None] + n[None, :] - shared)) & (parts[:, None] != parts[None, :])
-            if not linked.any():
-                continue
-            root = parts.copy()
-            while True:  # each row takes the least component of its links and of its own component
-                least = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(axis=1))
-                name, where = np.unique(parts, return_inverse=True)
-                of_part = np.full(len(name), np.iinfo(np.int64).max)
-                np.minimum.at(of_part, where, least)
-                if (of_part[where] == root).all():
-                    break
-                root = of_part[where]
-            k = np.flatnonzero(root != parts)
-            pairs = np.unique(np.stack([parts[k], root[k]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], ["a", "b"])
+        now, rows, shared = None, (), np.zeros((0, 0))
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if now is not None:
+                pairs = _joined_components(*rows, shared, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], ["a", "b"])
+
+        for (node, _), t in _runs(batches, "node", "part"):
+            if node != now:
+                yield from done()
+                now, rows, shared = node, tuple(t.column(c).to_numpy() for c in ("a", "component", "n")), np.zeros((t.num_rows, t.num_rows), dtype=np.int64)
+            shared += shared_counts([np.asarray(x, dtype=np.int64) for x in t.column("items").to_numpy(zero_copy_only=False)])
+        yield from done()
 
     return run
 
@@ -398,7 +436,11 @@ def further_links(suspects: DataFrame, parts: DataFrame, sets: DataFrame, percen
     named = materialise(suspects.distinct().join(parts.select(F.col("vertex").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a")))
     open_nodes = named.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("node")
     rows = named.join(open_nodes, "node", "left_semi").join(sets.withColumnRenamed("doc_id", "a"), "a")
-    return rows.select("node", "a", "component", "items").repartition("node").sortWithinPartitions("node", "a").mapInArrow(_confirm_nodes(percent), "a long, b long")
+    sizes = rows.groupBy("node").agg(F.ceil(F.sum("n") / ITEMS_TOGETHER).cast("int").alias("parts"))
+    split = rows.join(sizes, "node").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    items = F.when(F.col("parts") == 1, F.col("items")).otherwise(F.filter("items", lambda x: F.pmod(x, F.col("parts")) == F.col("part")))
+    dealt = split.select("node", "part", "a", "component", "n", items.alias("items")).repartition("node").sortWithinPartitions("node", "part", "a")
+    return dealt.mapInArrow(_confirm_nodes(percent), "a long, b long")
 
 
 def near_dedup(docs: DataFrame, *, width: int = 5, percent: int = 80, recall: float = RECALL, node_rows: int = NODE_ROWS, depth: int = DEPTH) -> DataFrame:
@@ -407,10 +449,14 @@ def near_dedup(docs: DataFrame, *, width: int = 5, percent: int = 80, recall: fl
     sets = materialise(describe_sets(docs, width, trees * depth))
     listed = sets.filter(F.col("f0").isNotNull() & F.col("doc_id").isNotNull())
     reps = materialise(listed.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")))
-    found = candidate_pairs(reps, trees, percent, node_rows, depth)
+    found, met = candidate_pairs(reps, trees, percent, node_rows, depth)
+    star, star_sets = (None, None) if met is None else star_links(docs, met, width, percent)
+    if met is not None:
+        found = found.unionByName(rest_pairs(met, star, percent, node_rows))
     pairs = materialise(found.filter(F.col("b").isNotNull()).select("a", "b").distinct())
-    sets_of_pairs = sets_of(docs, pairs, width)
-    parts = materialise(connected_components(confirmed_links(pairs, sets_of_pairs, percent)))
+    sets_of_pairs = sets_of(docs, pairs, width, star_sets)
+    links = confirmed_links(pairs, sets_of_pairs, percent)
+    parts = materialise(connected_components(links if star is None else links.unionByName(star)))
     suspects = found.filter(F.col("b").isNull()).select("node", "a")
     more = materialise(further_links(suspects, parts, sets_of_pairs, percent))
     if not more.isEmpty():

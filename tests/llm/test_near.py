@@ -150,6 +150,22 @@ def test_documents(spark, width, percent, node_rows, depth):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(sets[i]), c[i], c[i] == i) for i in c}
 
 
+@pytest.mark.parametrize(("least", "items"), [(0, 1 << 22), (0, 300), (70, 1)])
+def test_no_link_rests_on_the_sketch_alone(spark, monkeypatch, least, items):
+    """Sketches that let (nearly) everything through: stars, forests and nodes are still exact, in any number of parts."""
+    monkeypatch.setattr(near_dedup, "least_agreement", lambda percent: least)
+    monkeypatch.setattr(near_dedup, "ITEMS_TOGETHER", items)
+    rows = corpus()
+    sets, c = document_truth(rows, 3, 85)
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85, node_rows=3, depth=1).collect()
+    assert {r.doc_id: r.component_id for r in got} == c
+
+
+def test_filter_grows_with_the_ids_and_is_left_out_beyond_its_bound():
+    assert near_dedup.filter_words(0) == near_dedup.filter_words(500) == 64
+    assert near_dedup.filter_words(10**6) == 1 << 17 and near_dedup.filter_words(10**9) is None
+
+
 def test_recall_at_the_last_level(spark):
     """2,000 pairs of similarity 0.85 exactly; nodes of one row at most, so each pair must share ``depth`` tokens."""
     rows = []
@@ -170,7 +186,7 @@ def test_trees_follow_recall():
 @pytest.mark.parametrize("percent", [80, 85])
 def test_trees_and_sketch_together_keep_the_recall(percent):
     j = percent / 100
-    agree, least = j + (1 - j) / 256, near_dedup.agreement_limits(percent)[0]
+    agree, least = j + (1 - j) / 256, near_dedup.least_agreement(percent)
     by_sketch = sum(math.comb(near_dedup.SKETCH, k) * agree**k * (1 - agree) ** (near_dedup.SKETCH - k) for k in range(least))
     by_trees = (1 - j**near_dedup.DEPTH) ** near_dedup.plan_trees(percent)
     assert by_sketch + by_trees <= 1 - near_dedup.RECALL
