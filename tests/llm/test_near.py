@@ -90,6 +90,40 @@ def test_embeddings(spark, block):
     assert len(got) == len(rows)
 
 
+def rows_truth(rows):
+    """(vec_id, n_links, component_id) row by row: a row is a vector of its own, whatever its id."""
+    ok = [k for k, (_, v, y) in enumerate(rows) if v and y is not None and any(v)]
+    links = [(j, k) for k in ok for j in ok if j < k and rows[j][2] == rows[k][2] and len(rows[j][1]) == len(rows[k][1]) and np.dot(rows[j][1], rows[k][1]) / np.sqrt(np.dot(rows[j][1], rows[j][1]) * np.dot(rows[k][1], rows[k][1])) >= 0.98]
+    part = components(range(len(rows)), links)
+    least = {}
+    for k, (i, *_) in enumerate(rows):
+        if i is not None:
+            least[part[k]] = min(least.get(part[k], i), i)
+    n = [sum(k in x for x in links) for k in range(len(rows))]
+    return sorted(((rows[k][0], n[k], least.get(part[k])) for k in range(len(rows))), key=str)
+
+
+def test_repeated_and_null_vec_ids(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(4, 12))
+    rows = [(int(rng.integers(0, 25)) if rng.random() < 0.8 else None, (centres[k % 4] + rng.normal(size=12) * 0.1).tolist(), k % 2) for k in range(80)]
+    rows += [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (1, [1.0, 0.0], 0), (None, [5.0, 5.0, 5.0], 1), (None, [5.0, 5.0, 5.0], 1), (None, None, 1), (7, None, None), (7, [], 1)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.near_dedup(d, block=8, recall=0.9999999).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == rows_truth(rows)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+
+
+def test_sign_bits_pass_every_pair_at_the_threshold():
+    rng = np.random.default_rng(5)
+    for rows in (100, 10**6):
+        bits, tables = embedding_dedup.plan_tables(rows, 0.98, 0.99999)
+        n, limit = bits * tables, embedding_dedup.most_apart(0.98, bits * tables)
+        x = rng.normal(size=(20_000, n))
+        y = 0.98 * x + math.sqrt(1 - 0.98**2) * rng.normal(size=x.shape)  # projections of a pair at the threshold
+        assert ((x > 0) != (y > 0)).sum(axis=1).max() <= limit < n / 2
+
+
 def test_no_embeddings(spark):
     assert embedding_dedup.near_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
