@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import random
 import re
+import time
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lumenfold.llm import secrets
 
@@ -62,3 +65,49 @@ def test_null_owner_repeats_and_empty(spark):
     got = scan(spark, rows)
     assert [r.spans for r in got] == ["owned:2:30"] * 3
     assert scan(spark, []) == []
+
+
+def plain_spans(rows):
+    """Base and owned spans, read from the rules: one text after another, in Python."""
+    found, owners, repos = [], {}, {}
+    for t, source in rows:
+        t = t or ""
+        spans = [(m.start(), 1, m.end(), m[2]) for m in re.finditer(ASSIGN, t, re.A) if len(m[2]) >= 8]
+        spans += [(m.start(), 2, m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        spans += [(m.start(), 3, m.end(), m[0]) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", t):
+            live = re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and len(set(m[0])) >= 10
+            if live and not any(a < m.end() and m.start() < b for a, _, b, _ in spans):
+                spans.append((m.start(), 4, m.end(), m[0]))
+        found.append(spans)
+        for *_, value in spans:
+            owners.setdefault(value, set()).add(source)
+            repos.setdefault(value, set()).add((source, "en"))
+    return [",".join(f"{secrets.KINDS[k - 1]}:{a}:{b}" for a, k, b, v in sorted(x) if k < 4 or (len(owners[v]) <= 2 and len(repos[v]) <= 4)) for x in found]
+
+
+def test_all_spans_like_a_plain_version(spark):
+    rng = random.Random(6)
+    token = lambda: "".join(rng.choices("ABCDEFabcdef0123456789+/", k=rng.choice([8, 20, 24, 33, 40])))
+    shared = [token() for _ in range(12)]
+    piece = lambda: rng.choice([token, lambda: rng.choice(shared), lambda: "secret=" + rng.choice(shared), lambda: "AKIA" + token().upper(), lambda: token().lower(), lambda: "plain words", lambda: "é😀"])()
+    rows = [(rng.choice([" ", "\n", ", ", "x"]).join(piece() for _ in range(rng.randint(0, 30))), f"s{k % 5}") for k in range(60)]
+    got = scan(spark, rows)
+    assert [r.base for r in got] == [base(t) for t, _ in rows]
+    assert [r.spans for r in got] == plain_spans(rows)
+
+
+def test_many_matches_in_one_text(spark):
+    rng = random.Random(2)
+    text = " ".join(rng.choice(["secret=abcdefgh", "Zm9vYmFyMTIzNDU2Nzg5MGFiY2Rl", "0123456789abcdef" * 2]) for _ in range(100_000))
+    began = time.time()
+    (r,) = scan(spark, [(text, "s")])
+    assert time.time() - began < 60
+    assert r.base == base(text) and r.spans.count("owned") == text.count("Zm9v")
+
+
+def test_sums_before(spark):
+    for n in (0, 1, 2, 7, 8, 9, 27, 28, 1000):
+        values = [(k * 7) % 11 for k in range(n)]
+        (r,) = spark.createDataFrame([(values,)], "v array<int>").select(secrets.sums_before(F.col("v")).alias("s")).collect()
+        assert r.s == [sum(values[:k]) for k in range(n)]
