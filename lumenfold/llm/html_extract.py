@@ -9,8 +9,12 @@ The tables have no node labels, so the trees are trained on pages written here b
 whose blocks know whether they are main text; layouts, tag names, attributes, broken markup and
 lengths vary. The number of pages is a parameter; training is deterministic.
 
+Parsing takes time linear in the page, whatever its markup: the scanner never goes back, and open
+elements are found by their tag, not by a walk up the page.
+
 Cases. A null or empty page has an empty text. Unclosed and stray tags, cut-off pages and pages
-without markup are parsed as far as they go. Very long pages are taken whole. A null page_id or
+without markup are parsed as far as they go; a tag that the page's end cuts off is no text. Very
+long pages are taken whole. A null page_id or
 url passes through; repeated rows give equal texts; an empty table gives an empty result. Extra
 columns aren't read.
 """
@@ -19,11 +23,12 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
-from html import escape
-from html.parser import HTMLParser
+from html import escape, unescape
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +39,12 @@ from pyspark.sql import functions as F
 UNSEEN = frozenset("head title script style noscript template iframe object svg math canvas select option button textarea audio video map datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input link meta area embed param source track".split())
+RAW = frozenset({"script", "style"})
 CLOSES_PARAGRAPH = frozenset("address article aside blockquote body center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"})}
 
+PARAGRAPH, AROUND_PARAGRAPH = frozenset({"p"}), frozenset("td th body li dd button div section article blockquote form aside main".split())
+
 # Groups of tags and of attribute tokens that become features.
 TAG_GROUPS = ({"p"}, {"h1"}, {"h2", "h3", "h4", "h5", "h6"}, {"li", "dt", "dd"}, {"ul", "ol", "dl", "menu"}, {"div", "center"}, {"section"}, {"article", "main"}, {"nav"}, {"header", "hgroup"}, {"footer"}, {"aside"}, {"form", "fieldset", "legend"}, {"table", "tbody", "thead", "tr", "td", "th"}, {"blockquote", "pre", "figure", "figcaption"}, {"body", "html"}, {"#run"}, {"dialog", "details", "address"})
 TOKEN_GROUPS = (
@@ -55,20 +63,97 @@ _TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _MARKS = re.compile(r"[.,;:!?]")
 
 
-class Page(HTMLParser):
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>\x00]*+")
+_ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>=][^\s/>=]*+|=[^\s/>=]*+)?+(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)?+))?+""")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+#: Longer than any character's number; Python refuses to read endless ones.
+_LONG_REFERENCE = re.compile(r"&#(?:0*([0-9]{8,})|[xX]0*([0-9a-fA-F]{7,}));?")
+
+
+def characters(text: str) -> str:
+    """``text`` with its character references decoded."""
+    if "&" not in text:
+        return text
+    return unescape(_LONG_REFERENCE.sub("\ufffd", text) if "&#" in text else text)
+
+
+def scan(html: str) -> Iterator[tuple[str, str, list[tuple[str, str]]]]:
+    """("text", text, []), ("start" or "empty", tag, attributes) and ("end", tag, []) of a page, in order."""
+    at, size = 0, len(html)
+    text_from = 0
+    while at < size:
+        at = html.find("<", at)
+        if at < 0:
+            break
+        following = html[at + 1 : at + 2]
+        name = _TAG_NAME.match(html, at + 1) if following.isascii() and following.isalpha() else None
+        closing = _TAG_NAME.match(html, at + 2) if following == "/" else None
+        if name is None and closing is None and following not in ("!", "?", "/"):
+            at += 1  # a plain "<"
+            continue
+        if text_from < at:
+            yield "text", characters(html[text_from:at]), []
+        if name is not None:
+            tag, k, attributes = name[0].lower(), name.end(), []
+            while k < size and html[k] != ">":
+                m = _ATTRIBUTE.match(html, k)
+                if m.end() == k or m[1] is None and m.end() < size and html[m.end()] != ">":
+                    k = max(m.end(), k + 1)  # a stray quote
+                    continue
+                if m[1]:
+                    attributes.append((m[1].lower(), next((v for v in m.groups()[1:] if v), "")))
+                k = m.end()
+            if k >= size:
+                return
+            at = text_from = k + 1
+            yield ("empty" if html[k - 1] == "/" else "start"), tag, attributes
+            if tag in RAW and html[k - 1] != "/":
+                end = _RAW_END[tag].search(html, at)
+                stop = size if end is None else end.start()
+                yield "text", html[at:stop], []
+                at = text_from = stop
+            continue
+        if html.startswith("<!--", at):
+            if html.startswith((">", "->"), at + 4):  # an empty comment, cut short
+                stop = html.index(">", at) + 1
+            else:
+                stop = end + 3 if (end := html.find("-->", at + 4)) >= 0 else -1
+        else:
+            stop = html.find(">", at) + 1 or -1
+        if stop < 0:
+            return
+        at = text_from = stop
+        if closing is not None:
+            yield "end", closing[0].lower(), []
+    if text_from < size:
+        yield "text", characters(html[text_from:]), []
+
+
+class Page:
     """Block nodes of a page, in order, and the runs of text that each of them holds directly."""
 
+    GONE = "#gone"  # an inline element that was closed below others that are still open
+
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.tokens, self.marked = ["html"], [-1], [frozenset()], [False]
         self.runs: list[tuple[int, str, int]] = []  # node, text, characters inside links
         self.stack: list[tuple[str, int]] = [("html", 0)]  # open elements; inline ones share their block's node
+        self.places: dict[str, list[int]] = defaultdict(list)  # where each tag stands on the stack
+        self.blocks = [0]  # where blocks stand on it
         self.hidden: list[str] = []
+        self.hidden_tags: Counter[str] = Counter()
         self.links = 0
         self.piece: list[str] = []
         self.in_links = 0
-        self.feed(html)
-        self.close()
+        for kind, what, attributes in scan(html):
+            if kind == "text":
+                self.on_text(what)
+            elif kind == "end":
+                self.on_end(what)
+            else:
+                self.on_start(what, attributes)
+                if kind == "empty" and (what in VOID or what in ("svg", "math", "iframe", "script")):
+                    self.on_end(what)
         self.end_run()
 
     def end_run(self) -> None:
@@ -77,85 +162,93 @@ class Page(HTMLParser):
             self.runs.append((self.stack[-1][1], text, min(self.in_links, len(text))))
         self.piece, self.in_links = [], 0
 
-    def handle_data(self, data: str) -> None:
+    def on_text(self, data: str) -> None:
         if not self.hidden:
             self.piece.append(data)
             if self.links:
                 self.in_links += len(data)
 
+    def push(self, tag: str, node: int) -> None:
+        self.places[tag].append(len(self.stack))
+        self.stack.append((tag, node))
+
+    def pop(self) -> None:
+        tag, _ = self.stack.pop()
+        if tag != self.GONE:
+            self.places[tag].pop()
+            self.links -= tag == "a"
+        if self.blocks[-1] == len(self.stack):
+            self.blocks.pop()
+
     def pop_to(self, k: int) -> None:
         self.end_run()
-        self.links -= sum(t == "a" for t, _ in self.stack[k:])
-        del self.stack[k:]
+        while len(self.stack) > k:
+            self.pop()
 
     def open_index(self, names: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> int | None:
-        found = None
-        for k in range(len(self.stack) - 1, 0, -1):
-            t = self.stack[k][0]
-            if t in names:
-                found = k
-            if t in stop:
-                break
-        return found
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        """The outermost open element of ``names`` that is inside the innermost of ``stop``."""
+        places = self.places
+        floor = max((places[t][-1] for t in stop if places.get(t)), default=0)
+        inside = [p[k] for t in names if (p := places.get(t)) and p[-1] > floor for k in (bisect_right(p, floor),)]
+        return min(inside, default=None)
+
+    def on_start(self, tag: str, attributes: list[tuple[str, str]]) -> None:
         if tag in UNSEEN:
             if tag not in VOID:
                 self.hidden.append(tag)
-            if tag not in ("head", "title") and not self.hidden[:-1]:
+                self.hidden_tags[tag] += 1
+            if tag not in ("head", "title") and len(self.hidden) < 2:
                 self.piece.append(" ")
             return
         if self.hidden:
             if tag == "body":
-                self.hidden = []
+                self.hidden.clear()
+                self.hidden_tags.clear()
             else:
                 return
-        if tag in ("html", "body") and any(t == tag for t, _ in self.stack[1:] or self.stack):
+        if tag == "html" or (tag == "body" and self.places["body"]):
             return
         if tag == "br" or (tag in INLINE and tag in VOID):
             self.piece.append(" ")
             return
         if tag in INLINE:
-            if tag == "a":
-                self.links += 1
-            self.stack.append((tag, self.stack[-1][1]))
+            self.links += tag == "a"
+            self.push(tag, self.stack[-1][1])
             return
-        if tag in CLOSES_PARAGRAPH and (k := self.open_index({"p"}, {"td", "th", "body", "li", "dd", "button"} | {"div", "section", "article", "blockquote", "form", "aside", "main"})) is not None:
+        if tag in CLOSES_PARAGRAPH and (k := self.open_index(PARAGRAPH, AROUND_PARAGRAPH)) is not None:
             self.pop_to(k)
         if tag in CLOSES and (k := self.open_index(*CLOSES[tag])) is not None:
             self.pop_to(k)
         self.end_run()
         if tag in VOID:
             return
-        words = " ".join(v or "" for n, v in attrs if n in ("class", "id", "role", "aria-label", "itemprop", "data-role"))
+        words = " ".join(v for n, v in attributes if n in ("class", "id", "role", "aria-label", "itemprop", "data-role"))
         self.tag.append(tag)
         self.parent.append(self.stack[-1][1])
-        self.tokens.append(frozenset(t.lower() for t in _TOKEN.findall(words)) if words else frozenset())
-        self.marked.append(any(n == "data-main-text" for n, _ in attrs))
-        self.stack.append((tag, len(self.tag) - 1))
-
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag in VOID or tag in ("svg", "math", "iframe", "script"):
-            self.handle_endtag(tag)
+        self.tokens.append(frozenset(t.lower() for t in _TOKEN.findall(characters(words))) if words else frozenset())
+        self.marked.append(any(n == "data-main-text" for n, _ in attributes))
+        self.blocks.append(len(self.stack))
+        self.push(tag, len(self.tag) - 1)
 
-    def handle_endtag(self, tag: str) -> None:
+    def on_end(self, tag: str) -> None:
         if self.hidden:
-            if tag in self.hidden:
-                del self.hidden[len(self.hidden) - 1 - self.hidden[::-1].index(tag) :]
+            while self.hidden_tags[tag]:
+                last = self.hidden.pop()
+                self.hidden_tags[last] -= 1
+                if last == tag:
+                    break
             return
-        if tag in VOID or tag in ("html", "body"):
+        if tag in VOID or tag in ("html", "body") or not self.places.get(tag):
             return
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] == tag:
-                if tag in INLINE:
-                    self.links -= tag == "a"
-                    del self.stack[k]  # inline elements above stay open, as formatting does
-                else:
-                    self.pop_to(k)
-                return
-            if tag in INLINE and self.stack[k][0] not in INLINE:
-                return
+        k = self.places[tag][-1]
+        if tag not in INLINE:
+            self.pop_to(k)
+        elif k > self.blocks[-1]:  # inline elements above stay open, as formatting does
+            self.places[tag].pop()
+            self.links -= tag == "a"
+            self.stack[k] = (self.GONE, self.stack[k][1])
+            while self.stack[-1][0] == self.GONE:
+                self.pop()
 
 
 def parse(html: str | None) -> Page:

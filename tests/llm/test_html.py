@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -44,6 +45,47 @@ def test_blocks():
     assert [t for _, t, _ in page.runs] == ["one two", "three", "four", "five", "a", "b", "six"]
 
 
+HOSTILE = {
+    "unclosed lists": "<ul>" * 250_000,
+    "tags that never end": "<a " * 350_000,
+    "open formatting, then items": "<b>" * 150_000 + "<li>" * 100_000,
+    "formatting closed from below": "<b>" * 100_000 + "<i></b>" * 100_000,
+    "stray ends in open formatting": "<i>" * 150_000 + "</b>" * 150_000,
+    "a paragraph far outside": "<p><td>" + "<foo>" * 60_000 + "<ul></ul>" * 60_000,
+    "hidden elements and stray ends": "<option>" * 60_000 + "</x>" * 100_000,
+    "unclosed quotes": "<a b='\">" * 150_000,
+    "unclosed comments": "<!--" * 250_000,
+    "ends without a name": "</" * 500_000,
+    "an endless reference": "&" * 500_000 + "&#" + "9" * 500_000 + ";",
+    "endless blanks in a tag": "<a" + " " * 1_000_000,
+    "repeated bodies": "<body>" * 160_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_a_megabyte_of_bad_markup_takes_seconds(name):
+    began = time.time()
+    page = hx.parse(HOSTILE[name])
+    hx.decode(page, MODEL.log_odds(hx.node_features(page)))
+    assert time.time() - began < 12
+
+
+@pytest.mark.parametrize(
+    ("html", "events"),
+    [
+        ("a < b<p class=x ID='y' data-z>c</P>d", [("text", "a < b", []), ("start", "p", [("class", "x"), ("id", "y"), ("data-z", "")]), ("text", "c", []), ("end", "p", []), ("text", "d", [])]),
+        ('<a href="x>y">&amp;&#65;&#x42;&#99999999;</a>', [("start", "a", [("href", "x>y")]), ("text", "&AB\ufffd", []), ("end", "a", [])]),
+        ("<!-- <p> -->x<!-->y<!doctype html>z<?pi?>", [("text", "x", []), ("text", "y", []), ("text", "z", [])]),
+        ("<script>a<b</p></script >t<br/>u", [("start", "script", []), ("text", "a<b</p>", []), ("end", "script", []), ("text", "t", []), ("empty", "br", []), ("text", "u", [])]),
+        ("x<p", [("text", "x", [])]),
+        ("x<a b='c", [("text", "x", [])]),
+        ("1 <2 <é", [("text", "1 <2 <é", [])]),
+    ],
+)
+def test_scanning(html, events):
+    assert list(hx.scan(html)) == events
+
+
 def test_decoding_is_the_likeliest_consistent_choice():
     rng = np.random.default_rng(1)
     for _ in range(60):
