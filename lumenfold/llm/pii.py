@@ -3,16 +3,22 @@
 Found values are validated (Luhn for card numbers, octet ranges for addresses, the calendar for
 dates, number-plan ranges for phones and social security numbers) and permuted within their own
 format by a keyed Feistel network on mixed-radix halves, with HMAC-like SHA-256 rounds. Equal
-values get equal pseudonyms in every document and a permutation never maps two values to one, so
-links survive and the key's owner can invert them. Mail addresses, which have no numeric format,
-get a keyed substitute of the same shape.
+values get equal pseudonyms in every document and no two values of a format get the same one, so
+links survive and the key's owner can invert them. The name of a mail address is permuted among the
+names of its shape (letters stay letters, digits digits, marks in place; case is kept but doesn't
+count) by a Feistel network on its characters, per domain; the domain stays in clear.
+
+A date keeps its notation. Of dates between slashes, those with a month in front and those that
+only read as day and month are permuted among themselves, so that neither yields the other's text.
+Addresses of equal octets are one value, however many zeros they are written with.
 
 One regular expression finds every kind; a text is split at its matches and joined again around
 their pseudonyms, in its own row: no shuffle, no Python.
 
 Cases. A null text stays null and an empty one empty. Numbers that fail validation stay as they
-are. Ties and repeated rows are rewritten equally; an empty table gives an empty result. Every
-other column passes through; ``n_pseudonyms`` is added (and replaces one of that name).
+are. Ties and repeated rows are rewritten equally; an empty table gives an empty result. Names of
+any length are rewritten whole. Every other column passes through; ``n_pseudonyms`` is added (and
+replaces one of that name).
 """
 
 from __future__ import annotations
@@ -24,21 +30,25 @@ from lumenfold.llm.common import let
 
 #: For demonstrations and tests; production passes a secret of its own.
 DEMO_KEY = "lumenfold demonstration key"
-ROUNDS = 10
+ROUNDS, NAME_ROUNDS = 10, 6
 
-MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9-]{1,63}){1,16}"
+#: A name starts where a run of its characters does, or where the last value ended, so no run is read twice;
+#: marks before it are no part of the value.
+MAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9-]{1,63}){1,16}"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[/.-][0-9])"
 PHONE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|(?:[0-9]{4} ){3}[0-9]{4}|(?:[0-9]{4}-){3}[0-9]{4}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9])"
 ANY = "|".join((MAIL, ADDRESS, DATE, SOCIAL, PHONE, CARD))
-#: A cheap necessary condition: an address is four numbers between dots, every other kind has an @ or
+#: A cheap necessary condition of ANY: an address is four numbers between dots, every other kind has an @ or
 #: seven digits close together.
 HINT = r"@|[0-9](?:[ ./()-]{0,2}[0-9]){6}|[0-9](?:\.[0-9]{1,3}){3}"
 
 #: The Gregorian cycle of 400 years from 1800-01-01, 146,097 days = 189 x 773.
 CYCLE_START, CYCLE = "1800-01-01", (189, 773)
+#: Its days after the twelfth of their month: 88,497 = 9 x 9,833.
+LATE = (9, 9833)
 
 
 def _keyed(key: str, tag: str, value: Column) -> Column:
@@ -120,26 +130,51 @@ def address_pseudonym(key: str, value: Column) -> Column:
     return let(F.split(value, r"\."), of)
 
 
+def _first_of_month(month: Column) -> Column:
+    """Days from CYCLE_START to the first of a month, months counted from there."""
+    return F.datediff(F.make_date(1800 + F.floor(month / 12).cast("int"), (month % 12 + 1).cast("int"), F.lit(1)), F.lit(CYCLE_START).cast("date"))
+
+
+def _late_day(d: Column) -> Column:
+    """The place of a day after the twelfth among all such days of the cycle."""
+    months = (F.year(d) - 1800) * 12 + F.month(d)
+    return F.datediff(d, F.lit(CYCLE_START).cast("date")) - 12 * months
+
+
+def _of_late_day(place: Column) -> Column:
+    """Days from CYCLE_START to the late day of a place: its month is within one of the average's guess."""
+    before = lambda m: _first_of_month(m) - 12 * m
+    last = F.lit(4799)
+    guess = F.floor(place * 4800 / (LATE[0] * LATE[1])).cast("int")
+    month = F.when((guess < last) & (before(F.least(guess + 1, last)) <= place), guess + 1).when(before(guess) <= place, guess).otherwise(guess - 1)
+    return let(month, lambda m: place + 12 * m + 12)
+
+
 def date_pseudonym(key: str, value: Column) -> Column:
-    """Real days from 1800 to 2199, in the format they came in; day and month in doubt: day first if only that is a day."""
+    """Real days from 1800 to 2199, in the notation they came in."""
 
     def written(pattern: str) -> Column:
         return F.when(value.rlike(pattern), F.lit(True))
 
-    def moved(fmt: str) -> Column:
-        day = F.try_to_date(value, fmt)
+    def on(days: Column, fmt: str) -> Column:
+        return F.date_format(F.date_add(F.lit(CYCLE_START).cast("date"), days.cast("int")), fmt)
+
+    def moved(fmt: str, late: bool = False) -> Column:
+        sizes = LATE if late else CYCLE
 
         def of(d: Column) -> Column:
             n = F.datediff(d, F.lit(CYCLE_START).cast("date"))
-            mixed = feistel(key, "date", F.floor(n / CYCLE[1]), n % CYCLE[1], *CYCLE)
-            return F.when((n >= 0) & (n < CYCLE[0] * CYCLE[1]), let(mixed, lambda m: F.date_format(F.date_add(F.lit(CYCLE_START).cast("date"), (m["l"] * CYCLE[1] + m["r"]).cast("int")), fmt)))
+            place = _late_day(d) if late else n
+            mixed = feistel(key, "late date" if late else "date", F.floor(place / sizes[1]), place % sizes[1], *sizes)
+            back = let(mixed, lambda m: let(m["l"] * sizes[1] + m["r"], lambda x: on(_of_late_day(x) if late else x, fmt)))
+            return F.when((n >= 0) & (n < CYCLE[0] * CYCLE[1]), back)
 
-        return let(day, of)
+        return let(F.try_to_date(value, fmt), of)
 
     return F.coalesce(
         F.when(written(r"^\d{4}-"), moved("yyyy-MM-dd")),
         F.when(written(r"^\d{4}/"), moved("yyyy/MM/dd")),
-        F.when(written(r"^\d{2}/"), F.coalesce(moved("MM/dd/yyyy"), moved("dd/MM/yyyy"))),
+        F.when(written(r"^\d{2}/"), F.coalesce(moved("MM/dd/yyyy"), F.when(F.substring(value, 1, 2) > "12", moved("dd/MM/yyyy", late=True)))),
         F.when(written(r"^\d{2}\."), moved("dd.MM.yyyy")),
     )
 
@@ -170,19 +205,42 @@ def social_pseudonym(key: str, value: Column) -> Column:
 
 
 def mail_pseudonym(key: str, value: Column) -> Column:
-    """Letters and digits before the @ are replaced by keyed ones of the same class; the domain stays."""
+    """The name is permuted within its shape, the domain stays.
 
-    def of(v: Column) -> Column:
-        local, domain = F.substring_index(v, "@", 1), F.substring_index(v, "@", -1)
-        seed = F.sha2(F.concat(F.lit(f"{key}\x00mail\x00"), F.lower(v)), 256)
+    A name is two halves of places in their alphabets. In each round the places of one half move by
+    keyed amounts that depend on the other half, modulo their alphabets' sizes, which can be undone.
+    """
+
+    place = lambda c: F.when(c.rlike("[a-z]"), F.ascii(c) - ord("a")).when(c.rlike("[0-9]"), F.ascii(c) - ord("0")).otherwise(F.lit(0))
+    size = lambda c: F.when(c.rlike("[a-z]"), F.lit(26)).when(c.rlike("[0-9]"), F.lit(10)).otherwise(F.lit(1))
+    letters = lambda text: F.filter(F.split(text, ""), lambda c: c != "")
+
+    def mixed(cs: Column, tag: Column) -> Column:
+        cut = F.floor(F.size(cs) / 2).cast("int")
+        left, right = (lambda f: F.transform(F.slice(cs, F.lit(1), cut), f)), (lambda f: F.transform(F.slice(cs, cut + 1, F.size(cs) - cut), f))
+        zero = F.struct(left(place).alias("a"), right(place).alias("b"), left(size).alias("of_a"), right(size).alias("of_b"))
 
-        def char(c: Column, i: Column, s: Column) -> Column:
-            n = F.conv(F.substring(F.sha2(F.concat_ws("\x00", s, i.cast("string")), 256), 1, 8), 16, 10).cast("long")
-            pick = lambda alphabet: F.substring(F.lit(alphabet), (n % len(alphabet) + 1).cast("int"), F.lit(1))
-            return F.when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(c.rlike("[0-9]"), pick("0123456789")).otherwise(c)
+        def step(x: Column, k: Column) -> Column:
+            seed = F.sha2(F.concat(F.lit(f"{key}\x00inner\x00name"), k.cast("string"), F.lit("\x00"), tag, F.lit("\x00"), F.array_join(x["b"].cast("array<string>"), ",")), 256)
+            by = lambda s, i: F.conv(F.substring(F.sha2(F.concat(F.lit(f"{key}\x00outer\x00"), s, F.lit("\x00"), i.cast("string")), 256), 1, 6), 16, 10).cast("int")
+            moved = let(seed, lambda s: F.transform(x["a"], lambda p, i: F.pmod(p + by(s, i), F.get(x["of_a"], i))))
+            return F.struct(x["b"].alias("a"), moved.alias("b"), x["of_b"].alias("of_a"), x["of_a"].alias("of_b"))
 
-        chars = F.transform(F.sequence(F.lit(1), F.char_length(local)), lambda i: F.substring(local, i, F.lit(1)))
-        return let(seed, lambda s: F.concat(F.array_join(F.transform(chars, lambda c, i: char(c, i, s)), ""), F.lit("@"), domain))
+        # an even number of rounds brings both halves back to their sides
+        rounds = F.aggregate(F.sequence(F.lit(1), F.lit(NAME_ROUNDS)), zero.cast("struct<a:array<int>,b:array<int>,of_a:array<int>,of_b:array<int>>"), step, lambda x: F.concat(x["a"], x["b"]))
+        return F.when(F.size(cs) > 0, rounds)
+
+    def char(was: Column, at: Column) -> Column:
+        letter = lambda first: F.char(at + ord(first))
+        return F.when(was.rlike("[a-z]"), letter("a")).when(was.rlike("[A-Z]"), letter("A")).when(was.rlike("[0-9]"), letter("0")).otherwise(was)
+
+    def of(v: Column) -> Column:
+        whole, domain = F.substring_index(v, "@", 1), F.substring_index(v, "@", -1)
+        marks = F.regexp_extract(whole, "^[._%+-]+", 0)
+        name = F.regexp_replace(whole, "^[._%+-]+", "")
+        shape = F.regexp_replace(F.regexp_replace(F.lower(name), "[a-z]", "a"), "[0-9]", "0")
+        places = let(letters(F.lower(name)), lambda cs: mixed(cs, F.concat(F.lower(domain), F.lit("\x00"), shape)))
+        return F.concat(marks, F.array_join(F.zip_with(letters(name), places, char), ""), F.lit("@"), domain)
 
     return let(value, of)
 

@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+import bisect
 import datetime as dt
+import hashlib
+import random
 import re
 
+import regex
 from pyspark.sql import functions as F
 
 from lumenfold.llm import pii
@@ -42,7 +46,7 @@ def test_dates(spark):
     same = {dt.datetime.strptime(out[k][0].strip("on .") if k == 0 else out[k][0], f).date() for k, f in ((0, "%Y-%m-%d"), (1, "%Y/%m/%d"), (4, "%d.%m.%Y"))}
     assert len(same) == 1 and same != {dt.date(1987, 2, 28)}
     assert dt.datetime.strptime(out[2][0], "%m/%d/%Y").date() in same
-    assert dt.datetime.strptime(out[3][0], "%d/%m/%Y").date() in same
+    assert dt.datetime.strptime(out[3][0], "%d/%m/%Y").date().day > 12
     assert out[5] == ("1987-02-30", 0) and out[6] == ("2300-01-01", 0) and out[7][1] == 1
 
 
@@ -88,3 +92,169 @@ def test_permutation_and_inverse(spark):
 
 def test_empty_table(spark):
     assert change(spark, []) == []
+
+
+# ---------------------------------------------------------------- a plain version, in Python
+
+FIRST = dt.date(1800, 1, 1)
+LATE_DAYS = [n for n in range(146_097) if (FIRST + dt.timedelta(n)).day > 12]
+
+
+def sha(text, kind="sha256"):
+    return hashlib.new(kind, text.encode()).hexdigest()
+
+
+def shuffle(tag, left, right, left_size, right_size):
+    x, sizes = [left, right], (left_size, right_size)
+    for k in range(pii.ROUNDS):
+        inner = sha(f"{KEY}\0inner\0{k}\0{tag}\0{x[1 - k % 2]}")
+        x[k % 2] = (x[k % 2] + int(sha(f"{KEY}\0outer\0{inner}")[:15], 16)) % sizes[k % 2]
+    return x
+
+
+def poured(digits, shape):
+    it = iter(digits)
+    return "".join(next(it) if c.isdigit() else c for c in shape)
+
+
+def plain_date(v):
+    formats = {"-": ["%Y-%m-%d"], "/": ["%Y/%m/%d"] if v[4] == "/" else ["%m/%d/%Y", "%d/%m/%Y"], ".": ["%d.%m.%Y"]}
+    for f in next(f for mark, f in formats.items() if mark in v):
+        try:
+            n = (dt.datetime.strptime(v, f).date() - FIRST).days
+        except ValueError:
+            continue
+        if not 0 <= n < 146_097:
+            return None
+        if f == "%d/%m/%Y":
+            place = bisect.bisect_left(LATE_DAYS, n)
+            left, right = shuffle("late date", place // 9833, place % 9833, 9, 9833)
+            day = FIRST + dt.timedelta(LATE_DAYS[left * 9833 + right])
+        else:
+            left, right = shuffle("date", n // 773, n % 773, 189, 773)
+            day = FIRST + dt.timedelta(left * 773 + right)
+        return f.replace("%Y", f"{day.year:04}").replace("%m", f"{day.month:02}").replace("%d", f"{day.day:02}")
+    return None
+
+
+def plain_mail(v):
+    whole, domain = v.rsplit("@", 1)
+    name = whole.lstrip("._%+-")
+    size = [26 if c.isalpha() else 10 if c.isdigit() else 1 for c in name]
+    places = [ord(c) - ord("a") if c.isalpha() else int(c) if c.isdigit() else 0 for c in name.lower()]
+    tag = domain.lower() + "\0" + re.sub("[0-9]", "0", re.sub("[a-z]", "a", name.lower()))
+    cut = len(name) // 2
+    a, b, of_a, of_b = places[:cut], places[cut:], size[:cut], size[cut:]
+    for k in range(1, pii.NAME_ROUNDS + 1):
+        seed = sha(f"{KEY}\0inner\0name{k}\0{tag}\0" + ",".join(map(str, b)))
+        a = [(p + int(sha(f"{KEY}\0outer\0{seed}\0{i}")[:6], 16)) % n for i, (p, n) in enumerate(zip(a, of_a))]
+        a, b, of_a, of_b = b, a, of_b, of_a
+    out = [chr(p + ord("a")) if c.islower() else chr(p + ord("A")) if c.isupper() else str(p) if c.isdigit() else c for c, p in zip(name, a + b)]
+    return whole[: len(whole) - len(name)] + "".join(out) + "@" + domain
+
+
+def plain_value(v):
+    d = re.sub("[^0-9]", "", v)
+    if "@" in v:
+        return plain_mail(v)
+    if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", v):
+        o = list(map(int, v.split(".")))
+        if max(o) > 255:
+            return None
+        left, right = shuffle("address", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        return f"{left >> 8}.{left & 255}.{right >> 8}.{right & 255}"
+    if re.fullmatch(r"[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}|[0-9]{2}([/.])[0-9]{2}\2[0-9]{4}", v):
+        return plain_date(v)
+    if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", v):
+        areas = [x for x in range(1, 900) if x != 666]
+        area, group, serial = int(d[:3]), int(d[3:5]), int(d[5:])
+        if area not in areas or not group or not serial:
+            return None
+        left, right = shuffle("social", areas.index(area), (group - 1) * 9999 + serial - 1, 898, 99 * 9999)
+        return poured(f"{areas[left]:03}{right // 9999 + 1:02}{right % 9999 + 1:04}", v)
+    if len(d) <= 11:
+        area, exchange, line = int(d[-10:-7]), int(d[-7:-4]), int(d[-4:])
+        if area < 200 or exchange < 200:
+            return None
+        left, right = shuffle("phone", area - 200, (exchange - 200) * 10_000 + line, 800, 8_000_000)
+        return poured(f"{d[:-10]}{left + 200}{right // 10_000 + 200}{right % 10_000:04}", v)
+    if not luhn(d):
+        return None
+    n = len(d) - 1
+    left, right = shuffle(f"card{n}", int(d[: n // 2]), int(d[n // 2 : n]), 10 ** (n // 2), 10 ** (n - n // 2))
+    body = f"{left:0{n // 2}}{right:0{n - n // 2}}"
+    return poured(body + next(c for c in "0123456789" if luhn(body + c)), v)
+
+
+def plain(text):
+    n = 0
+
+    def put(m):
+        nonlocal n
+        now = plain_value(m[0])
+        n += now is not None
+        return m[0] if now is None else now
+
+    return (None, 0) if text is None else (regex.sub(pii.ANY, put, text), n)
+
+
+def random_value(rng):
+    n = lambda k: "".join(rng.choices("0123456789", k=k))
+    word = lambda k: "".join(rng.choices("abcXYZ019._%+-", k=k))
+    day = dt.date(1790, 1, 1) + dt.timedelta(rng.randrange(160_000))
+
+    def card():
+        body = n(rng.choice([12, 14, 15, 18]))
+        d = body + rng.choice([next(c for c in "0123456789" if luhn(body + c)), n(1)])
+        return d if len(d) != 16 or rng.random() < 0.5 else rng.choice("- ").join(d[k : k + 4] for k in (0, 4, 8, 12))
+
+    kinds = [
+        lambda: f"{rng.choice('abZ9')}{word(rng.choice([0, 1, 2, 7, 33, 90]))}@{rng.choice(['x.org', 'Mail.Example.com', 'a-b.c1.de'])}",
+        lambda: ".".join(str(rng.randrange(280)) for _ in range(4)),
+        lambda: day.strftime(rng.choice(["%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%d/%m/%Y", "%d.%m.%Y"])),
+        lambda: f"{n(4)}-{n(2)}-{n(2)}",
+        lambda: f"{n(3)}-{n(2)}-{n(4)}",
+        lambda: rng.choice(["", "+1 ", "1-", "+1."]) + rng.choice([f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}-{n(3)}-{n(4)}", f"{n(3)}.{n(3)} {n(4)}"]),
+        card,
+    ]
+    return rng.choice(kinds)()
+
+
+def test_like_a_plain_version(spark):
+    rng = random.Random(12)
+    alone = [random_value(rng) for _ in range(600)]
+    glue = [" ", "\n", ", ", "x", "é", "😀 ", "", ".", "_", "-", "@", ": "]
+    mixed = ["".join(rng.choice(glue) + random_value(rng) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    texts = [None, "", *alone, *mixed]
+    assert change(spark, texts) == [plain(t) for t in texts]
+    assert sum(n for _, n in map(plain, alone)) > 400
+
+
+def test_a_pattern_never_matches_without_the_hint(spark):
+    rng = random.Random(13)
+    texts = [t for t in (rng.choice(["", "a "]) + random_value(rng) for _ in range(3000)) if regex.search(pii.ANY, t)]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert d.filter(~F.col("text").rlike(pii.HINT)).count() == 0 and len(texts) > 1500
+
+
+def test_no_two_dates_between_slashes_share_a_pseudonym(spark):
+    days = spark.range(146_097).select(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    written = days.select(F.date_format("d", "MM/dd/yyyy").alias("v")).unionByName(days.filter("day(d) > 12").select(F.date_format("d", "dd/MM/yyyy").alias("v")))
+    out = written.select("v", pii.date_pseudonym(KEY, F.col("v")).alias("p"))
+    n = out.agg(F.count_distinct("v").alias("values"), F.count_distinct("p").alias("pseudonyms"), F.count("p").alias("all"), F.min(F.length("p")).alias("short")).first()
+    assert (n["values"], n["pseudonyms"], n["all"], n["short"]) == (234_594, 234_594, 234_594, 10)
+
+
+def test_no_two_names_of_a_domain_share_a_pseudonym(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [*letters, *(a + b for a in letters for b in letters), *(f"{a}{k}.{b}" for a in letters for k in range(10) for b in "xyz")]
+    out = [t for t, _ in change(spark, [f"{n}@x.org" for n in names])]
+    assert len(set(out)) == len(names)
+    assert all(re.fullmatch(re.sub("[a-z]", "[a-z]", re.sub("[0-9]", "[0-9]", n.replace(".", "[.]").replace("[0-9]", "0"))) + "@x[.]org", o) for n, o in zip(names, out) if n.isalpha())
+
+
+def test_long_names_and_names_in_a_row_are_rewritten_whole(spark):
+    (long, n), (row, m), (longest, _) = change(spark, ["a" * 80 + "@x.org", "..bob@x.org_eve@y.org,bob@x.org", "b" * 100_000 + "@x.org"])
+    assert n == 1 and "aaaaaaaa" not in long and len(long) == 86
+    assert m == 3 and not re.search("bob|eve", row) and row[2:5] == row[-9:-6]
+    assert "b" * 16 not in longest and len(longest) == 100_006
