@@ -6,8 +6,10 @@ tokens of clean documents are clean. The field is then trained on those token la
 ascent on its likelihood. A document's score is a logistic function, fitted on the same training
 documents, of its expected number of toxic tokens, their share, and the largest marginal.
 
-The model is fitted on a bounded sample of labelled rows (``fit_toxic`` and ``fit_clean`` rows,
-those of smallest id hash); it is a few hundred KB, whatever the corpus. Scoring is one scan.
+The model is fitted on a bounded sample of labelled rows: ``fit_toxic`` and ``fit_clean`` rows,
+those of smallest id hash, less texts above ``fit_chars`` characters. So the driver gets at most
+(fit_toxic + fit_clean) x fit_chars characters, and the model is a few hundred KB, whatever the
+corpus. Scoring is one scan of all texts, however long.
 
 Cases. A null or empty text has no tokens and gets the score of zero evidence. A null doc_id is
 scored like others and not held out. Repeated rows get equal scores. Rows without labels aren't
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FIT_TOXIC, FIT_CLEAN = 900, 1800
+FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 900, 1800, 30_000
 SLOTS = 1 << 17
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -193,12 +195,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, *, fit_toxic: int = FIT_TOXIC, fit_clean: int = FIT_CLEAN) -> ToxicityModel:
+def fit_on_labels(docs: DataFrame, labels: DataFrame, *, fit_toxic: int = FIT_TOXIC, fit_clean: int = FIT_CLEAN, fit_chars: int = FIT_CHARS) -> ToxicityModel:
     """Train on a bounded sample of the labelled rows that aren't held out."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     least = lambda y, n: known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     picked = least(1, fit_toxic).unionByName(least(0, fit_clean))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).collect()
+    short = docs.select("doc_id", "text").filter(F.col("text").isNull() | (F.char_length("text") <= fit_chars))
+    rows = short.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return fit([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
 

@@ -80,3 +80,13 @@ def test_without_both_classes_scores_are_zero(spark, docs, labels):
 
 def test_empty_table(spark, docs):
     assert toxicity.score_documents(docs([]), toxicity.ToxicityModel()).count() == 0
+
+
+def test_long_texts_arent_trained_on_but_scored(spark, docs):
+    texts, toxic = corpus(120)
+    long = [f"{texts[0]} " * 2000, texts[1]]
+    labels = lambda n: spark.createDataFrame([(k, y) for k, y in enumerate([*toxic, 1, 0][:n])], "doc_id long, toxic int")
+    a = toxicity.fit_on_labels(docs(texts), labels(120))
+    b = toxicity.fit_on_labels(docs([*texts, long[0]]), labels(121))
+    assert np.array_equal(a.weights, b.weights)
+    assert toxicity.score_documents(docs(long), a).count() == 2
