@@ -21,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there or not name.startswith("_"):
+        name = f"_{name}"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, also when ``body`` names it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

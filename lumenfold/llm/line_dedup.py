@@ -6,8 +6,8 @@ decisions go back as line positions, one array a document, and the text moves on
 
 Cases. A null or empty text is one empty line. Rows with equal doc_id are one document when
 holders are counted. Rows with null doc_id hold nothing and lose nothing. Repeated rows get equal
-results. An empty table gives an empty result. Extra columns pass through, but ``n_lines`` and
-``n_dropped`` are replaced, and ``_text_hash`` and ``_drops`` are reserved.
+results. An empty table gives an empty result. Extra columns pass through, whatever their names,
+but ``n_lines`` and ``n_dropped`` are replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import ascii_lower, hash128, join_per_key, let, materialise
+from lumenfold.llm.common import ascii_lower, fresh, hash128, join_per_key, let, materialise
 
 MIN_CHARS = 10
 
@@ -29,7 +29,7 @@ def line_key(line: Column) -> Column:
 
 
 def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = 2) -> DataFrame:
-    """(doc_id, _text_hash, _drops): the positions, from 0, that each document loses."""
+    """(doc_id, _text_hash, _drops) of (doc_id, text): the positions, from 0, that each document loses."""
     lines = (
         docs.filter(F.col("doc_id").isNotNull())
         .select("doc_id", F.xxhash64("text").alias("_text_hash"), F.posexplode(F.transform(lines_of(F.col("text")), line_key)).alias("pos", "key"))
@@ -54,16 +54,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = 2)
 
     A document that loses every line keeps an empty text.
     """
-    drops = shared_lines(docs, min_chars, min_docs)
-    joined = docs.withColumn("_text_hash", F.xxhash64("text")).join(drops, ["doc_id", "_text_hash"], "left")
+    name, drop = fresh(docs, "text_hash"), fresh(docs, "drops")
+    drops = shared_lines(docs.select("doc_id", "text"), min_chars, min_docs).withColumnsRenamed({"_text_hash": name, "_drops": drop})
+    joined = docs.withColumn(name, F.xxhash64("text")).join(drops, ["doc_id", name], "left")
     kept = let(
-        F.struct(lines_of(F.col("text")).alias("all"), F.col("_drops").alias("drops")),
+        F.struct(lines_of(F.col("text")).alias("all"), F.col(drop).alias("drops")),
         lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x["all"]) - 1), x["drops"]), lambda i: F.get(x["all"], i)), "\n"),
     )
-    untouched = F.col("_drops").isNull()
+    untouched = F.col(drop).isNull()
     return (
         joined.withColumn("n_lines", F.size(lines_of(F.col("text"))).cast("long"))
-        .withColumn("n_dropped", F.when(untouched, 0).otherwise(F.size("_drops")).cast("long"))
+        .withColumn("n_dropped", F.when(untouched, 0).otherwise(F.size(drop)).cast("long"))
         .withColumn("text", F.when(untouched, F.coalesce(F.col("text"), F.lit(""))).otherwise(kept))
         .select(*(c for c in docs.columns if c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")
     )

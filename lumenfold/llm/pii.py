@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import let
+from lumenfold.llm.common import fresh, let
 
 #: For demonstrations and tests; production passes a secret of its own.
 DEMO_KEY = "lumenfold demonstration key"
@@ -271,4 +271,5 @@ def pseudonymise(docs: DataFrame, *, key: str = DEMO_KEY, text: str = "text") ->
     plain = F.struct(body.alias("text"), F.lit(0).cast("long").alias("n"))
     done = F.when(body.rlike(HINT), let(found, rebuilt)).otherwise(plain)
     others = [c for c in docs.columns if c != "n_pseudonyms"]
-    return docs.withColumn("_done", done).select(*(F.col("_done.text").alias(c) if c == text else F.col(c) for c in others), F.col("_done.n").alias("n_pseudonyms"))
+    made = fresh(docs, "done")
+    return docs.withColumn(made, done).select(*(F.col(f"{made}.text").alias(c) if c == text else F.col(f"`{c}`") for c in others), F.col(f"{made}.n").alias("n_pseudonyms"))

@@ -8,7 +8,8 @@ other, removes what it covers and starts again. The list becomes one CASE expres
 Cases. A null or empty text has no words: all statistics are 0 and it fails the base rule. A null
 doc_id is kept as a row. Repeated rows and ties are judged row by row, equally. An empty table
 gives an empty result; without usable labels the list is empty and the default verdict "keep"
-holds. Extra columns of the input are not read, so their names can't clash.
+holds. Extra columns pass through, whatever their names, except that ``stats``, ``base_failed``,
+``rule`` and ``kept`` are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import let, words
+from lumenfold.llm.common import fresh, let, words
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
@@ -79,21 +80,22 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     def of_lines(ls: Column) -> Column:
         return F.struct(F.size(ls).cast("long").alias("n_lines"), (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"))
 
+    w, l = fresh(docs, "w"), fresh(docs, "l")
     return (
-        docs.withColumn("_w", let(words(F.col(text)), of_words))
-        .withColumn("_l", let(lines, of_lines))
+        docs.withColumn(w, let(words(F.col(text)), of_words))
+        .withColumn(l, let(lines, of_lines))
         .withColumn(
             "stats",
             F.struct(
-                "_w.*",
-                "_l.*",
+                f"{w}.*",
+                f"{l}.*",
                 count(SYMBOLS).alias("n_symbols"),
                 count(r"[!?]").alias("n_marks"),
                 count(r"[A-Z]").alias("n_capitals"),
                 count(r"[0-9]").alias("n_digits"),
             ),
         )
-        .drop("_w", "_l")
+        .drop(w, l)
     )
 
 

@@ -68,3 +68,8 @@ def test_three_documents(spark):
 @given(st.lists(st.tuples(st.integers(0, 5), st.lists(st.sampled_from([LINE, " " + LINE.lower(), "tiny", "", "another shared line", "Ünïcode line é"]), max_size=6).map("\n".join)), max_size=8))
 def test_like_brute_force(spark, rows):
     check(spark, rows)
+
+
+def test_clashing_names_pass_through(spark):
+    d = spark.createDataFrame([(1, f"{LINE}\nx", "a", "b"), (2, LINE, "a", "b")], "doc_id long, text string, _text_hash string, _Drops string")
+    assert {(r.doc_id, r.text, r._text_hash, r._Drops) for r in line_dedup.dedup_lines(d).collect()} == {(1, f"{LINE}\nx", "a", "b"), (2, "", "a", "b")}

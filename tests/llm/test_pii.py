@@ -258,3 +258,9 @@ def test_long_names_and_names_in_a_row_are_rewritten_whole(spark):
     assert n == 1 and "aaaaaaaa" not in long and len(long) == 86
     assert m == 3 and not re.search("bob|eve", row) and row[2:5] == row[-9:-6]
     assert "b" * 16 not in longest and len(longest) == 100_006
+
+
+def test_clashing_names_pass_through(spark):
+    d = spark.createDataFrame([("8.8.8.8", "a", "b")], "text string, _done string, `x.y` string")
+    (r,) = pii.pseudonymise(d, key=KEY).collect()
+    assert (r._done, r["x.y"], r.n_pseudonyms) == ("a", "b", 1)

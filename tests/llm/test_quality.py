@@ -63,3 +63,25 @@ def test_empty_tables(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.quality_rules(docs(TEXTS), labels) == []
     assert quality.apply_rules(docs([]), quality.quality_rules(docs([]), labels)).count() == 0
+
+
+def test_the_conditional_is_the_rule_list(spark):
+    """The CASE expression against the rules read one after another, on sf0.001 and a list of every kind of condition."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    learned = quality.quality_rules(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    c = quality.Condition
+    made = [quality.Rule((c("symbols", True, 100), c("line_words", False, 9000))), quality.Rule((c("word_length", False, 4500),), keep=True), quality.Rule((c("capitals", True, 20), c("marks", False, 50), c("repeats", False, 10)))]
+    for rules in (learned, made):
+        cols = quality.features()
+        got = quality.apply_rules(docs.select("doc_id", "text"), rules).select("rule", "kept", "base_failed", *(x.alias(n) for n, x in cols.items())).collect()
+        for r in got:
+            first = next((k for k, rule in enumerate(rules, 1) if rule.covers(r.asDict())), None)
+            assert r.rule == first
+            assert r.kept == (not r.base_failed and (first is None or rules[first - 1].keep))
+    assert len({r.rule for r in got}) > 2
+
+
+def test_clashing_names_pass_through(spark, docs):
+    d = docs(TEXTS).selectExpr("doc_id", "text", "'a' AS _w", "'b' AS _L", "'c' AS n_words")
+    got = quality.apply_rules(d, []).collect()
+    assert all((r._w, r._L, r.n_words) == ("a", "b", "c") for r in got) and len(got) == len(TEXTS)
