@@ -61,5 +61,10 @@ def sidecar_epoch(body: Column) -> Column:
     return F.get_json_object(body, "$.photoTakenTime.timestamp").try_cast("bigint")
 
 
+#: Seconds of the years 1 to 9999; what lies outside is no date.
+FIRST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799
+
+
 def sidecar_date(body: Column) -> Column:
-    return F.timestamp_seconds(sidecar_epoch(body))
+    epoch = sidecar_epoch(body)
+    return F.timestamp_seconds(F.when(epoch.between(FIRST_SECOND, LAST_SECOND), epoch))
