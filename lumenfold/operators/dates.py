@@ -16,19 +16,23 @@ from lumenfold.functions.dates import guess_from_name, parse_exif, sidecar_date
 from lumenfold.functions.mime import is_image
 from lumenfold.operators.sidecar import find_sidecars
 from lumenfold.options import MAX_READ_BYTES, Options
-from lumenfold.sources.content import read_text, with_exif_dates
+from lumenfold.sources.content import read_text, spread_by_bytes, with_exif_dates
 from lumenfold.staging import staged
 
+#: What opening a file costs, in bytes read, when its dates or its sidecar are looked up.
+LOOKUP_BYTES = 1 << 17
+
 Extractor = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def from_sidecar(media: DataFrame, entries: DataFrame, tryhard: bool = False) -> DataFrame:
-    return find_sidecars(media, entries, tryhard).select("path", sidecar_date(read_text(F.col("sidecar"))).alias("date"))
+    found = spread_by_bytes(staged(find_sidecars(media, entries, tryhard)), F.lit(LOOKUP_BYTES))
+    return found.select("path", sidecar_date(read_text(F.col("sidecar"))).alias("date"))
 
 
 def from_exif(media: DataFrame, entries: DataFrame, reject_zero: bool = True) -> DataFrame:
     readable = media.filter(is_image(F.col("name")) & (F.col("size") <= MAX_READ_BYTES)).select("path")
-    return with_exif_dates(readable).select("path", parse_exif(F.col("exif_raw"), reject_zero).cast("timestamp").alias("date"))
+    return with_exif_dates(spread_by_bytes(staged(readable), F.lit(LOOKUP_BYTES))).select("path", parse_exif(F.col("exif_raw"), reject_zero).cast("timestamp").alias("date"))
 
 
 def from_name(media: DataFrame, entries: DataFrame) -> DataFrame:
