@@ -8,10 +8,12 @@ import sys
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from lumenfold.options import ALBUM_MODES, SHORTCUT, Options
 from lumenfold.plans.execute import OutputNotEmpty
 from lumenfold.plans.organise import NothingFound, fix, organise
+from lumenfold.staging import release
 
 OK, FAILED, MISSING, NO_FOLDER, NOT_EMPTY, NO_MEDIA = 0, 1, 10, 11, 12, 13
 
@@ -48,8 +50,16 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             r = fix(spark, folder, options).first()
             print(f"times set: {r['set']}, not set: {r['not_set']}")
             return OK
-        r = organise(spark, options, args.dry_run).summary.first()
+        made = organise(spark, options, args.dry_run)
+        for r in made.undated_paths().toLocalIterator():
+            print(f"no date: {r['path']}")
+        r = made.summary.first()
         print(f"duplicates skipped: {r['duplicates']}, extras skipped: {r['extras']}, without a date: {r['undated']}")
+        if made.outcomes is not None:
+            done = {x["op"]: x["n"] for x in made.outcomes.groupBy("op").agg(F.count("*").alias("n")).collect()}
+            print("put out: " + ", ".join(f"{done.get(op, 0)} {op}" for op in ("copy", "move", "link")))
+            for r in made.outcomes.filter(F.col("warning").isNotNull()).toLocalIterator():
+                print(f"warning: {r['dest']}: {r['warning']}", file=sys.stderr)
         return OK
     except NothingFound:
         print("no photos or videos in year or album folders", file=sys.stderr)
@@ -60,6 +70,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     except Exception as e:
         print(f"failed: {e}", file=sys.stderr)
         return FAILED
+    finally:
+        release(spark)
 
 
 if __name__ == "__main__":

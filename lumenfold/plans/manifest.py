@@ -24,12 +24,12 @@ def destination_folder(output: Column, album: Column, date: Column, divide_to_da
 
 
 def output_entries(merged: DataFrame, mode: str) -> DataFrame:
-    """One row per file that a mode puts out: media_order, album, path, date_taken, albums, has_main."""
+    """One row per file that a mode puts out: media_order, album, path, size, date_taken, albums, has_main."""
     has_main = F.exists("files", lambda f: f["album"].isNull())
-    rows = merged.select(media_order().alias("media_order"), "files", "date_taken", album_names(F.col("files")).alias("albums"), has_main.alias("has_main"))
+    rows = merged.select(media_order().alias("media_order"), "files", "size", "date_taken", album_names(F.col("files")).alias("albums"), has_main.alias("has_main"))
     if mode == JSON:
-        return rows.select("media_order", F.lit(None).cast("string").alias("album"), F.element_at("files", 1)["path"].alias("path"), "date_taken", "albums", F.lit(True).alias("has_main"))
-    rows = rows.withColumn("file", F.explode("files")).select("media_order", F.col("file.album").alias("album"), F.col("file.path").alias("path"), "date_taken", "albums", "has_main")
+        return rows.select("media_order", F.lit(None).cast("string").alias("album"), F.element_at("files", 1)["path"].alias("path"), "size", "date_taken", "albums", F.lit(True).alias("has_main"))
+    rows = rows.withColumn("file", F.explode("files")).select("media_order", F.col("file.album").alias("album"), F.col("file.path").alias("path"), "size", "date_taken", "albums", "has_main")
     return rows.filter(F.col("album").isNull()) if mode == NOTHING else rows
 
 
@@ -46,7 +46,7 @@ def build_manifest(merged: DataFrame, options: Options, occupied: DataFrame | No
     main_names = assign_names(main, occupied, "key", ["media_order"])
     done = main.join(main_names, "key").withColumn("dest", join_path(F.col("folder"), F.col("final_name")))
     op = F.lit("copy" if options.copy else "move")
-    real = done.select(op.alias("op"), F.col("path").alias("src"), "dest", F.lit(None).cast("string").alias("link_target"), F.col("date_taken").alias("mtime"), "media_order", "album", "albums")
+    real = done.select(op.alias("op"), F.col("path").alias("src"), "dest", F.lit(None).cast("string").alias("link_target"), F.col("date_taken").alias("mtime"), "size", "media_order", "album", "albums")
     if options.albums in (JSON, NOTHING):
         return real
     links = options.albums == SHORTCUT
@@ -63,6 +63,7 @@ def build_manifest(merged: DataFrame, options: Options, occupied: DataFrame | No
         join_path(F.col("folder"), F.col("final_name")).alias("dest"),
         F.when(is_link, F.col("target")).alias("link_target"),
         F.col("date_taken").alias("mtime"),
+        "size",
         "media_order",
         "album",
         "albums",

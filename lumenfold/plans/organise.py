@@ -30,12 +30,21 @@ class NothingFound(Exception):
 
 @dataclass
 class Plan:
-    """Frames of one run; ``summary`` has duplicates, extras, undated and files put out."""
+    """Frames of one run; ``summary`` has duplicates, extras, undated and files put out.
+
+    ``outcomes`` is there after a run that wasn't dry. The frames stand on staged tables, which
+    ``lumenfold.staging.release`` deletes.
+    """
 
     media: DataFrame
     merged: DataFrame
     manifest: DataFrame
     summary: DataFrame
+    outcomes: DataFrame | None = None
+
+    def undated_paths(self) -> DataFrame:
+        """(path) of the files without a date, one a record."""
+        return self.merged.filter(F.col("date_taken").isNull()).select(F.element_at("files", 1)["path"].alias("path"))
 
 
 def plan(spark: SparkSession, options: Options, entries: DataFrame | None = None, occupied: DataFrame | None = None) -> Plan:
@@ -75,7 +84,7 @@ def organise(spark: SparkSession, options: Options, dry_run: bool = True) -> Pla
         raise NothingFound(options.input)
     if not dry_run:
         made.manifest = staged(made.manifest)  # before files move
-        execute(made.manifest)
+        made.outcomes = execute(made.manifest, instead="copy" if options.copy else "move")
         if options.albums == "json":
             write_albums_index(made.manifest, options.output)
     return made

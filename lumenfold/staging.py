@@ -9,12 +9,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def staging_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which a cluster's driver and executors share; a local master may do without."""
+    """``spark.checkpoint.dir``, which a cluster's driver and executors share; a master of one process may do without."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lumenfold-stages-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
@@ -23,6 +26,27 @@ def staging_folder(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    path = f"{staging_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    """``df`` as a written table, which stays until ``release`` or the end of the process."""
+    spark = df.sparkSession
+    path = f"{staging_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if not _written:
+        atexit.register(release, spark)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_all(spark: SparkSession, paths: list[str]) -> None:
+    """Empty a list of folders, which any store may hold; also after the session was stopped."""
+    if not paths:
+        return
+    jvm = spark._jvm
+    conf = jvm.org.apache.hadoop.conf.Configuration() if spark.sparkContext._jsc is None else spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the staged tables of this process; frames built on them can't be read afterwards."""
+    delete_all(spark, _written)
