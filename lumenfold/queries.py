@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold import file_queries
 from lumenfold.functions import dates, paths, sidecar_names
 from lumenfold.functions.mime import is_image, is_media
 from lumenfold.operators import albums, classify, content, dedup, extras
-from lumenfold.operators.dates import undated
+from lumenfold.operators.dates import resolve_dates, undated
 from lumenfold.operators.sidecar import find_sidecars
 from lumenfold.options import ALBUM_MODES, Options
 from lumenfold.plans import manifest, naming
@@ -169,12 +170,18 @@ def sidecar_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def date_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """COALESCE over ranked dates whose stages are emptied by id."""
+    """The ranked chain over extractors that know some ids, the last of which guesses from names."""
     i = F.col("event_id")
-    rows = events_as_media(spark, sf_dir)
-    stages = [F.when(i % 2 == 0, F.col("ts")), F.when(i % 3 == 0, F.col("ts") + F.expr("INTERVAL 1 DAY")), F.when(i % 5 == 0, dates.guess_from_name(F.col("name")))]
-    accuracy = F.coalesce(*(F.when(s.isNotNull(), F.lit(k)) for k, s in enumerate(stages)))
-    return rows.select("event_id", F.coalesce(*stages).alias("taken"), accuracy.alias("accuracy"))
+    media = events_as_media(spark, sf_dir).withColumn("path", i.cast("string"))
+
+    def knows(every: int, shift: str):
+        return lambda rows, _: rows.filter(i % every == 0).select("path", (F.col("ts") + F.expr(shift)).alias("date"))
+
+    def names(rows: DataFrame, _: DataFrame) -> DataFrame:
+        return rows.filter(i % 5 == 0).select("path", dates.guess_from_name(F.col("name")).alias("date"))
+
+    dated = resolve_dates(media, media, [knows(2, "INTERVAL 0 DAY"), knows(3, "INTERVAL 1 DAY"), names])
+    return dated.select("event_id", F.col("date_taken").alias("taken"), "accuracy")
 
 
 def exif_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,4 +249,4 @@ def queries() -> dict[str, Query]:
     for mode in ALBUM_MODES:
         found[f"output_file_count_{mode.replace('-', '_')}"] = output_file_count(mode)
         found[f"manifest_{mode.replace('-', '_')}"] = manifest_actions(mode)
-    return found
+    return found | file_queries.queries()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lumenfold.file_queries import JPEG_HEAD, JPEG_TAIL
 from lumenfold.options import EXTRA_SUFFIXES
 
 MEDIA = """
@@ -81,16 +82,46 @@ tries AS (
 EVENT_NAMES = "events_named AS (SELECT event_id, ts, date_trunc('second', ts) AS second FROM events)"
 
 
+#: The files that the file queries write, by customer: key, kind of date, folder, name, bytes, and the date there.
+PICTURES = f"""
+days AS (
+  SELECT c_custkey AS key, c_custkey % 5 AS kind, TIMESTAMP '2010-01-01 12:00:00' + to_days(CAST(c_custkey AS INTEGER)) AS day,
+         CASE WHEN c_custkey % 4 = 3 THEN 'Trip ' || (c_nationkey % 5) END AS album, 'Photos from ' || (2000 + c_nationkey) AS year_folder
+  FROM customer),
+pictures AS (
+  SELECT key, kind, album, coalesce(album, year_folder) AS folder,
+         CASE WHEN kind = 3 THEN 'IMG_' || strftime(day, '%Y%m%d_%H%M%S') || '_' || key || '.jpg' ELSE 'IMG_' || key || '.jpg' END AS name,
+         CASE WHEN kind = 2 THEN from_hex('{JPEG_HEAD.hex()}') || encode(strftime(day, '%Y:%m:%d %H:%M:%S')) || from_hex('{JPEG_TAIL.hex()}')
+              ELSE encode('picture ' || lpad(CAST(CASE WHEN key % 6 = 1 AND kind <> 3 THEN key - 1 ELSE key END AS VARCHAR), 7, '0')) END AS data,
+         CASE WHEN kind < 2 THEN CAST(1400000000 + key * 86400 AS BIGINT) WHEN kind < 4 THEN CAST(epoch(day) AS BIGINT) END AS epoch,
+         CASE WHEN kind < 2 THEN 0 WHEN kind = 2 THEN 1 WHEN kind = 3 THEN 2 END AS accuracy
+  FROM days),
+sizes AS (SELECT *, folder || '/' || name AS path, CAST(octet_length(data) AS BIGINT) AS size FROM pictures),
+keyed AS (
+  SELECT *, CASE WHEN count(*) OVER (PARTITION BY size) = 1 THEN size || 'bytes' ELSE sha256(data) END AS content_key,
+         row_number() OVER (ORDER BY album IS NOT NULL, folder, name) AS ord
+  FROM sizes)"""
+
+#: What is left of them after duplicates, as records.
+PICTURE_RECORDS = (
+    PICTURES
+    + """,
+dated AS (
+  SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY album, size, content_key ORDER BY '999' || length(name), ord) AS rn FROM keyed) WHERE rn = 1),"""
+    + MERGED.format(src="dated")
+)
+
+
 def _folder(date: str, album: str) -> str:
     return f"'/out/' || coalesce({album}, 'ALL_PHOTOS') || CASE WHEN {date} IS NULL THEN '/date-unknown' ELSE '/' || strftime(to_timestamp({date}) AT TIME ZONE 'UTC', '%Y/%m') END"
 
 
-def _manifest(mode: str) -> str:
+def _manifest(mode: str, records: str = RECORDS) -> str:
     """All names differ in the media view, so no name is ever taken."""
-    base = f"WITH {RECORDS}, files AS (SELECT group_ord, epoch, unnest(albums) AS album, unnest(paths) AS path, list_position(list_transform(albums, lambda a: a IS NULL), true) AS main_at, paths FROM records)"
+    base = f"WITH {records}, files AS (SELECT group_ord, epoch, unnest(albums) AS album, unnest(paths) AS path, list_position(list_transform(albums, lambda a: a IS NULL), true) AS main_at, paths FROM records)"
     dest = f"{_folder('epoch', 'album')} || '/' || string_split(path, '/')[-1]"
     if mode == "json":
-        return f"WITH {RECORDS} SELECT 'move' AS op, paths[1] AS src, {_folder('epoch', 'NULL')} || '/' || string_split(paths[1], '/')[-1] AS dest, CAST(NULL AS VARCHAR) AS link_target, epoch AS mtime_epoch FROM records"
+        return f"WITH {records} SELECT 'move' AS op, paths[1] AS src, {_folder('epoch', 'NULL')} || '/' || string_split(paths[1], '/')[-1] AS dest, CAST(NULL AS VARCHAR) AS link_target, epoch AS mtime_epoch FROM records"
     if mode == "nothing":
         return f"{base} SELECT 'move' AS op, path AS src, {dest} AS dest, CAST(NULL AS VARCHAR) AS link_target, epoch AS mtime_epoch FROM files WHERE album IS NULL"
     if mode == "duplicate-copy":
@@ -128,6 +159,28 @@ def oracle_sql() -> dict[str, str]:
             tried AS (SELECT doc_id, unnest([n0, n1, n2, n3, n4]) AS n, unnest(range(5)) AS k, parent FROM placed),
             hits AS (SELECT doc_id, arg_min(t.path, k) AS sidecar FROM tried JOIN there t ON t.path = parent || '/' || n || '.json' GROUP BY doc_id)
             SELECT placed.doc_id, sidecar FROM placed LEFT JOIN hits USING (doc_id)""",
+        "file_scan": f"""WITH {PICTURES}
+            SELECT path, name, false AS is_dir, size AS length FROM keyed
+            UNION ALL SELECT path || '.json', name || '.json', false, CAST(length('{{"photoTakenTime": {{"timestamp": }}}}') + CASE kind WHEN 0 THEN 12 ELSE 10 END AS BIGINT) FROM keyed WHERE kind < 2
+            UNION ALL SELECT DISTINCT folder, folder, true, CAST(0 AS BIGINT) FROM keyed""",
+        "file_digests": f"WITH {PICTURES} SELECT path, album, size, content_key FROM keyed",
+        "file_dates": f"WITH {PICTURES} SELECT path, epoch AS date_epoch, accuracy FROM keyed",
+        "file_fix": f'WITH {PICTURES} SELECT count(epoch) AS "set", count(*) - count(epoch) AS not_set FROM keyed',
+        "file_organise": f"""SELECT dest, op = 'link' AS is_link, size, mtime_epoch FROM ({_manifest('shortcut', PICTURE_RECORDS)}) m JOIN
+            (WITH {PICTURES} SELECT path, size FROM keyed) k ON k.path = m.src""",
+        "collision_names": """
+            WITH RECURSIVE named AS (
+              SELECT doc_id, doc_id % 3 AS folder, doc_id % 50 AS root, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS level,
+                     row_number() OVER (PARTITION BY doc_id % 3, doc_id % 50 ORDER BY doc_id) AS turn FROM documents),
+            taken AS (SELECT n_nationkey % 3 AS folder, n_nationkey AS root, [0] AS levels FROM nation),
+            placed AS (
+              SELECT g.folder, g.root, CAST(0 AS BIGINT) AS turn, coalesce(t.levels, []) AS levels, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS INTEGER) AS level
+              FROM (SELECT DISTINCT folder, root FROM named) g LEFT JOIN taken t ON t.folder = g.folder AND t.root = g.root
+              UNION ALL
+              SELECT folder, root, turn, list_append(levels, level), doc_id, level FROM (
+                SELECT p.folder, p.root, n.turn, p.levels, n.doc_id, CAST(list_min(list_filter(range(n.level, n.level + len(p.levels) + 1), lambda x: NOT list_contains(p.levels, x))) AS INTEGER) AS level
+                FROM placed p JOIN named n ON n.folder = p.folder AND n.root = p.root AND n.turn = p.turn + 1))
+            SELECT doc_id, 'a' || root || repeat('(1)', level) || '.jpg' AS final_name FROM placed WHERE doc_id IS NOT NULL""",
         "date_chain": """SELECT event_id,
             CASE WHEN event_id % 2 = 0 THEN ts WHEN event_id % 3 = 0 THEN ts + INTERVAL 1 DAY WHEN event_id % 5 = 0 THEN date_trunc('second', ts) END AS taken,
             CASE WHEN event_id % 2 = 0 THEN 0 WHEN event_id % 3 = 0 THEN 1 WHEN event_id % 5 = 0 THEN 2 END AS accuracy FROM events""",

@@ -30,10 +30,15 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{staging_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_later(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_later(spark: SparkSession, path: str) -> None:
+    """Let ``release``, or the end of the process, delete a folder."""
     if not _written:
         atexit.register(release, spark)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def delete_all(spark: SparkSession, paths: list[str]) -> None:
