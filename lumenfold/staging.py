@@ -14,7 +14,7 @@ _written: list[str] = []
 
 def staging_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, which a cluster's driver and executors share; a master of one process may do without."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found is None:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
@@ -52,6 +52,13 @@ def delete_all(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the staged tables of this process; frames built on them can't be read afterwards."""
-    delete_all(spark, _written)
+def mark() -> int:
+    """What has been staged so far, for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Delete the tables staged by this process, from a mark on; frames built on them can't be read afterwards."""
+    stop = len(_written) - int(keep_last)
+    gone, _written[since:stop] = _written[since:stop], []
+    delete_all(spark, gone)

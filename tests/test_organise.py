@@ -307,8 +307,11 @@ def test_staged_tables_are_deleted(spark, tree):
     made = plan(spark, Options(input=str(tree / "in"), output=str(tree / "out")))
     tables = list(staging._written)
     assert made.merged.count() and tables and all(os.path.isdir(p.removeprefix("file:")) for p in tables)
+    first, *others, last = tables
+    staging.release(spark, since=1, keep_last=True)
+    assert [p for p in tables if os.path.exists(p.removeprefix("file:"))] == [first, last] == staging._written
     staging.release(spark)
-    assert not staging._written and not any(os.path.exists(p.removeprefix("file:")) for p in tables)
+    assert others and not staging._written and not any(os.path.exists(p.removeprefix("file:")) for p in tables)
 
 
 def test_exif_of_other_data():
