@@ -1,15 +1,14 @@
-"""What the operators of this subpackage share: tables, word and line columns, scratch tables."""
+"""What the operators of this subpackage share: tables, word and line columns, staged tables, joins."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.skew import join_per_key  # noqa: F401, shared with the operators here
+from lumenfold.skew import join_per_key
+from lumenfold.staging import staged as materialise
+
+__all__ = ["ascii_lower", "fresh", "hash128", "join_per_key", "let", "materialise", "table", "words"]
 
 #: ASCII white space, as in every contract of this subpackage.
 BLANK = r"\x20\x09-\x0D"
@@ -46,48 +45,3 @@ def ascii_lower(text: Column) -> Column:
 def hash128(*cols: Column) -> list[Column]:
     """Two independent 64-bit hashes: at 10^12 keys the chance of any collision is about 10^-15."""
     return [F.xxhash64(*cols), F.xxhash64(F.lit(0x5DEECE66D), *cols)]
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see (spark.checkpoint.dir).
-
-    Where it is unset, a local master gets a temporary folder; a cluster is refused, since its
-    executors wouldn't see one another's files.
-    """
-    sc = spark.sparkContext
-    path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="lumenfold-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(path)
-    return path
-
-
-_written: list[str] = []
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    ``release`` (also run when the process ends) deletes these tables.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lumenfold-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(release, spark)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables of this process; frames built on them can't be read afterwards."""
-    if spark.sparkContext._jsc is None:
-        return
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)

@@ -13,12 +13,13 @@ from lumenfold.llm.common import table
 
 #: Vocabulary files of the installed public tokenizers.
 RANKS, VOCABULARY = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality.quality_rules(docs, table(spark, sf_dir, "labels"))
-    counts = [F.col(f"stats.{n}") for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    counts = [F.col(f"stats.{n}") for n in COUNTS]
     return quality.apply_rules(docs.select("doc_id", "text"), rules).select("doc_id", *counts, "base_failed", "kept", "rule")
 
 
@@ -63,5 +64,20 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+# ---------------------------------------------------------------- what SQL can say of op1 and op9
+
+
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the base rule of op1, which nothing is learned for."""
+    stats = quality.with_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return stats.select("doc_id", *(F.col(f"stats.{n}") for n in COUNTS), quality.base_failed().alias("base_failed"))
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of op9, which no ownership changes."""
+    return op9_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_toxicity, op4_html_extraction, op5_line_dedup, op6_pii_pseudonyms, op7_embedding_near_dedup, op8_packing, op9_secret_scan, op10_minhash_near_dedup)}
+    operators = (op1_quality_rules, op2_byte_bpe, op3_toxicity, op4_html_extraction, op5_line_dedup, op6_pii_pseudonyms, op7_embedding_near_dedup, op8_packing, op9_secret_scan, op10_minhash_near_dedup)
+    return {f.__name__: f for f in (*operators, quality_statistics, secret_base_spans)}

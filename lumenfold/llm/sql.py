@@ -64,5 +64,47 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT a, min(b)
 """
 
 
+#: Words, lines and windows of eight words, one text at a time.
+STATISTICS = r"""
+WITH worded AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+windows AS (SELECT doc_id, p, array_to_string(w[p:p + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM worded)),
+repeated AS (SELECT doc_id, p FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM (SELECT doc_id, p, unnest(range(8)) AS k FROM repeated) GROUP BY doc_id),
+counted AS (
+  SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM worded w LEFT JOIN covered c ON c.doc_id = w.doc_id)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted
+"""
+
+#: Matches and the text between them; a match starts where all before it ends.
+_KINDS = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "length(regexp_extract(m, '{p}', 2)) >= 8"),
+    ("access", "AKIA[A-Z0-9]+", "length(m) >= 16"),
+    ("hex", "[0-9a-f]+", "length(m) >= 32"),
+)
+SECRETS = (
+    "WITH "
+    + ", ".join(
+        f"""
+{name}_found AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{p}') AS ms, string_split_regex(coalesce(text, ''), '{p}') AS ps FROM documents),
+{name}_placed AS (
+  SELECT doc_id, m, {k} AS k, sum(length(p) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS pos
+  FROM (SELECT doc_id, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS p, unnest(range(len(ms))) AS i FROM {name}_found))"""
+        for k, (name, p, _) in enumerate(_KINDS, 1)
+    )
+    + ", spans AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, k, pos, '{name}:' || pos || ':' || (pos + length(m)) AS s FROM {name}_placed WHERE {keep.format(p=p)}" for name, p, keep in _KINDS)
+    + """)
+SELECT d.doc_id, count(s) FILTER (k = 1) AS n_assign, count(s) FILTER (k = 2) AS n_access, count(s) FILTER (k = 3) AS n_hex,
+       sha256(coalesce(string_agg(s, ',' ORDER BY pos, k), '')) AS base_sha256
+FROM documents d LEFT JOIN spans ON spans.doc_id = d.doc_id GROUP BY d.doc_id"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5, "op7_embedding_near_dedup": OP7, "op10_minhash_near_dedup": OP10}
+    return {"op5_line_dedup": OP5, "op7_embedding_near_dedup": OP7, "op10_minhash_near_dedup": OP10, "quality_statistics": STATISTICS, "secret_base_spans": SECRETS}

@@ -79,7 +79,7 @@ def test_query_matches_sql(spark, name):
 def test_all_are_registered(spark):
     names = set(driver.queries())
     assert set(queries.queries()) | {"pipeline"} <= names
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()} == set(range(1, 11))
+    assert {int(m[1]) for n in queries.queries() if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11))
 
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
