@@ -13,6 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold import staging
 from lumenfold.llm import line_dedup, near_dedup, packing, pii, quality
 from lumenfold.llm.common import materialise, table
 
@@ -58,9 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; what a stage wrote on its way is deleted once its result is written."""
+    docs, since = table(spark, sf_dir, "documents"), staging.mark()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs)
+            staging.release(spark, since, keep_last=True)
     return docs
