@@ -10,11 +10,11 @@
 3. A node still large at ``depth`` holds near-copies of one text. Its smallest class is the pivot:
    all are compared with it, by sketch and then on the full sets. Those linked to it form its star
    and need no comparison with one another; the rest meet all rows of the node, block by block.
-4. A node gives a maximum spanning forest of its candidate pairs, at most one link a row, however
-   many near-copies meet there. Forest links are confirmed on the full sets and go to connected
-   components.
-5. Where one node's candidates still lie in several components, all its pairs across components
-   are confirmed on the full sets, inside the node, and the components joined again. So no link is
+4. A node of few candidate pairs, at most two a row, gives them all. Any other gives a maximum
+   spanning forest of them, at most one link a row, however many near-copies meet there. What it
+   gives is confirmed on the full sets, once for all trees, and goes to connected components.
+5. Where the candidates of a node with a forest still lie in several components, all its pairs across
+   components are confirmed on the full sets, inside the node, and the components joined again. So no link is
    lost to the forest, and no node ever emits all its pairs.
 
 Cases. Null texts and texts without words have an empty set and link with nothing. Fewer words
@@ -45,6 +45,8 @@ SLACK = 4.5
 FILTER_BITS, FILTER_WORDS = 8, 1 << 20
 #: Pairs of one document that are verified in one place.
 PAIRS_TOGETHER = 2000
+#: A node gives all its candidate pairs if they are at most so many a row.
+FEW_PAIRS = 2
 #: Shingles of a node that are compared at once.
 ITEMS_TOGETHER = 1 << 22
 
@@ -144,8 +146,9 @@ def least_agreement(percent: int) -> int:
 
 
 def _forest_of_node(ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, starred: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(left, right, suspects): a maximum spanning forest of the node's candidate pairs, by Prim's
-    algorithm on sketch agreement, and every row that has a candidate partner.
+    """(left, right, suspects): all candidate pairs of the node and no suspects, if they are at most
+    FEW_PAIRS a row; else a maximum spanning forest of them, by Prim's algorithm on sketch agreement,
+    and every row that has a candidate partner.
 
     Starred rows need no pair with each other. Rows are compared one against the rest, so memory is
     linear in the node.
@@ -167,12 +170,16 @@ def _forest_of_node(ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, starred:
         return ids[k], ids[k + 1], ids[:0]
     best, source, done = np.zeros(m, dtype=np.int64), np.full(m, -1), np.zeros(m, dtype=bool)
     suspect = np.zeros(m, dtype=bool)
-    left, right = [], []
+    left, right, pairs, all_pairs = [], [], 0, []
     i = 0
     for _ in range(m - 1):
         done[i] = True
         found = row(i)
         suspect[i] = (found >= least).any()
+        further = np.flatnonzero((found >= least) & ~done)
+        pairs += len(further)
+        if pairs <= FEW_PAIRS * m:
+            all_pairs += [(i, k) for k in further.tolist()]
         better = (found > best) & ~done
         best[better], source[better] = found[better], i
         waiting = np.where(done, -1, best)
@@ -181,6 +188,9 @@ def _forest_of_node(ids: np.ndarray, n: np.ndarray, sketch: np.ndarray, starred:
             left.append(ids[source[i]])
             right.append(ids[i])
             suspect[i] = True
+    if pairs <= FEW_PAIRS * m:
+        both = np.array(all_pairs, dtype=np.int64).reshape(-1, 2)
+        return ids[both[:, 0]], ids[both[:, 1]], ids[:0]
     # the forest's links decide a node of two suspects
     return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64), ids[suspect] if suspect.sum() > 2 else ids[:0]
 

@@ -195,6 +195,22 @@ def test_no_link_rests_on_the_sketch_alone(spark, monkeypatch, least, items):
     assert {r.doc_id: r.component_id for r in got} == c
 
 
+def test_a_node_gives_few_pairs_all_and_many_as_a_forest():
+    rng = np.random.default_rng(3)
+    for m, copies in ((30, 2), (40, 20)):
+        base = rng.integers(0, 256, (m // copies + 1, near_dedup.SKETCH))
+        sketch = base[np.arange(m) // copies].astype(np.uint8)
+        ids, n = rng.permutation(10 * m)[:m].astype(np.int64), np.full(m, 100)
+        left, right, suspects = near_dedup._forest_of_node(ids, n, sketch, np.zeros(m, dtype=bool), 85)
+        group = {i: k // copies for k, i in enumerate(ids.tolist())}
+        assert all(group[a] == group[b] and a != b for a, b in zip(left.tolist(), right.tolist()))
+        pairs = {frozenset(x) for x in zip(left.tolist(), right.tolist())}
+        if copies == 2:
+            assert len(pairs) == len(left) == m // 2 and len(suspects) == 0
+        else:
+            assert len(pairs) == len(left) == m - 2 and sorted(suspects.tolist()) == sorted(ids.tolist())
+
+
 def test_filter_grows_with_the_ids_and_is_left_out_beyond_its_bound():
     assert near_dedup.filter_words(0) == near_dedup.filter_words(500) == 64
     assert near_dedup.filter_words(10**6) == 1 << 17 and near_dedup.filter_words(10**9) is None
