@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import itertools
 import time
+from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from lumenfold.llm import html_extract as hx
@@ -118,3 +120,34 @@ def test_table(spark):
     assert [(r.text, r.n_chars, r.url) for r in got if r.page_id is None] == [("", 0, None)]
     assert [r.n_chars for r in got if r.page_id == 2] == [499_999]
     assert hx.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+class Events(HTMLParser):
+    """The standard parser's events, neighbouring texts joined."""
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.events = []
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.events.append(("start", tag, [(n, v or "") for n, v in attrs]))
+
+    def handle_startendtag(self, tag, attrs):
+        self.events.append(("empty", tag, [(n, v or "") for n, v in attrs]))
+
+    def handle_endtag(self, tag):
+        self.events.append(("end", tag, []))
+
+    def handle_data(self, data):
+        if self.events and self.events[-1][0] == "text":
+            data = self.events.pop()[1] + data
+        self.events.append(("text", data, []))
+
+
+@pytest.mark.parametrize("table", ["/root/testdata/sf0.01/pages.parquet", None])
+def test_scanning_like_the_standard_parser(table):
+    pages = pq.read_table(table).column("html").to_pylist() if table else [hx.write_page(7 * 10**6 + k) for k in range(300)]
+    for html in filter(None, pages):
+        assert [x for x in hx.scan(html) if x[1]] == Events(html).events
