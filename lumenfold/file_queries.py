@@ -96,6 +96,7 @@ def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = write_tree(spark, sf_dir)
+    spark.conf.set("spark.sql.session.timeZone", Options().timezone)  # as a run does: dates in names are wall clocks
     media, entries = _media(spark, root)
     dated = resolve_dates(media, entries, extractors(Options()))
     return dated.select(below(root, F.col("path")).alias("path"), F.unix_timestamp("date_taken").alias("date_epoch"), "accuracy")
