@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenfold.skew import join_per_key
 from lumenfold.staging import staged as materialise
 
-__all__ = ["ascii_lower", "fresh", "hash128", "join_per_key", "let", "materialise", "table", "words"]
+__all__ = ["ascii_lower", "fresh", "hash128", "join_per_key", "let", "materialise", "table", "whole_groups", "words"]
 
 #: ASCII white space, as in every contract of this subpackage.
 BLANK = r"\x20\x09-\x0D"
@@ -28,6 +28,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def whole_groups(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """``rows`` sorted by ``group`` and ``order``, each group whole in one task, for a function over batches.
+
+    They are dealt by a hash of the group. By the group itself they might not be: the planner leaves
+    such a shuffle out after a join on the group, and adaptive execution, which doesn't know that the
+    function needs whole groups, then reads that join's rows in any order.
+    """
+    return rows.repartition(F.xxhash64(group)).sortWithinPartitions(group, *order)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, also when ``body`` names it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

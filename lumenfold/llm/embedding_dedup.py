@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import hash128, join_per_key, materialise
+from lumenfold.llm.common import hash128, join_per_key, materialise, whole_groups
 from lumenfold.llm.components import connected_components
 
 THRESHOLD, RECALL, BLOCK = 0.98, 0.99999, 1024
@@ -199,7 +199,7 @@ def _dealt(rows: DataFrame, block: int, columns: list[str]) -> DataFrame:
     part = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
     spread = placed.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     spread = spread.withColumn("side", F.when(F.col("part") <= F.col("other"), 0).otherwise(1)).withColumn("cell", F.xxhash64("home", F.least("part", "other"), F.greatest("part", "other")))
-    return spread.select("cell", "side", *columns).repartition("cell").sortWithinPartitions("cell")
+    return whole_groups(spread.select("cell", "side", *columns), "cell")
 
 
 def near_dedup(vectors: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, seed: int = 7) -> DataFrame:

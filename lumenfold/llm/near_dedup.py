@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import join_per_key, materialise
+from lumenfold.llm.common import join_per_key, materialise, whole_groups
 from lumenfold.llm.components import connected_components
 
 RECALL, DEPTH, NODE_ROWS = 0.9999, 4, 512
@@ -243,7 +243,7 @@ def _compare_nodes(percent: int, rows_together: int = 20_000):
 
 
 def _candidates_of(rows: DataFrame, percent: int) -> DataFrame:
-    grouped = rows.select("node", "rep", "n", "sketch", "starred").repartition("node").sortWithinPartitions("node", "rep")
+    grouped = whole_groups(rows.select("node", "rep", "n", "sketch", "starred"), "node", "rep")
     return grouped.mapInArrow(_compare_nodes(percent), "a long, b long, node long")
 
 
@@ -339,7 +339,7 @@ def _with_items(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
     other = "b" if side == "a" else "a"
     many = per_doc.filter("places > 1")
     salted = join_per_key(pairs, many, [side], "pairs", [other]).withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("places", F.lit(1))).cast("int")).drop("places")
-    copies = sets.withColumnRenamed("doc_id", side).join(per_doc.select(side, "places"), side).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("places") - 1))).drop("places").withColumnRenamed("items", f"items_{side}")
+    copies = sets.select(F.col("doc_id").alias(side), "items").join(per_doc.select(side, "places"), side).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("places") - 1))).drop("places").withColumnRenamed("items", f"items_{side}")
     return salted.join(copies, [side, "salt"]).drop("salt")
 
 
@@ -445,11 +445,11 @@ def further_links(suspects: DataFrame, parts: DataFrame, sets: DataFrame, percen
     """
     named = materialise(suspects.distinct().join(parts.select(F.col("vertex").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a")))
     open_nodes = named.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("node")
-    rows = named.join(open_nodes, "node", "left_semi").join(sets.withColumnRenamed("doc_id", "a"), "a")
+    rows = materialise(named.join(open_nodes, "node", "left_semi").join(sets.select(F.col("doc_id").alias("a"), "n"), "a"))
     sizes = rows.groupBy("node").agg(F.ceil(F.sum("n") / ITEMS_TOGETHER).cast("int").alias("parts"))
-    split = rows.join(sizes, "node").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    split = rows.join(sizes, "node").join(sets.select(F.col("doc_id").alias("a"), "items"), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     items = F.when(F.col("parts") == 1, F.col("items")).otherwise(F.filter("items", lambda x: F.pmod(x, F.col("parts")) == F.col("part")))
-    dealt = split.select("node", "part", "a", "component", "n", items.alias("items")).repartition("node").sortWithinPartitions("node", "part", "a")
+    dealt = whole_groups(split.select("node", "part", "a", "component", "n", items.alias("items")), "node", "part", "a")
     return dealt.mapInArrow(_confirm_nodes(percent), "a long, b long")
 
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.llm import embedding_dedup, near_dedup
+from lumenfold.llm.common import whole_groups
 from lumenfold.llm.components import _least, _meet, connected_components
 
 
@@ -211,6 +212,35 @@ def test_a_node_gives_few_pairs_all_and_many_as_a_forest():
             assert len(pairs) == len(left) == m - 2 and sorted(suspects.tolist()) == sorted(ids.tolist())
 
 
+def test_groups_stay_whole_after_a_join_on_the_group(spark):
+    """With a join that becomes a broadcast only when it runs, and rows of a group in all partitions."""
+    rows = spark.range(20_000).select((F.col("id") % 500).alias("node"), F.col("id").alias("a"), F.repeat(F.lit("x"), 300).alias("pad")).repartition(8, "a")
+    sizes = rows.groupBy("node").agg(F.count("*").alias("rows"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200k")
+    try:
+        joined = whole_groups(rows.join(sizes, "node").select("node", "a", "pad"), "node", "a")
+        tasks = joined.withColumn("task", F.spark_partition_id()).groupBy("node").agg(F.count_distinct("task").alias("tasks")).agg(F.max("tasks")).first()[0]
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert tasks == 1 and "REPARTITION_BY_COL" in plan
+
+
+@pytest.mark.parametrize("few_pairs", [-1, 0, 2])
+def test_a_row_whose_best_partner_fails_still_finds_the_others(few_pairs):
+    """Whatever a node gives, forest or pairs, the row is a suspect or all its pairs are there."""
+    rng = np.random.default_rng(5)
+    one = rng.integers(0, 256, near_dedup.SKETCH).astype(np.uint8)
+    sketch = np.stack([np.where(rng.random(near_dedup.SKETCH) < share, one, rng.integers(0, 256, near_dedup.SKETCH)).astype(np.uint8) for share in (1, 0.95, 0.9, 0.88, 0.86)])
+    near_dedup.FEW_PAIRS, held = few_pairs, near_dedup.FEW_PAIRS
+    try:
+        left, right, suspects = near_dedup._forest_of_node(np.arange(5), np.full(5, 100), sketch, np.zeros(5, dtype=bool), 80)
+    finally:
+        near_dedup.FEW_PAIRS = held
+    assert len(left) == 10 and len(suspects) == 0 if few_pairs == 2 else len(left) == 4 and len(suspects) == 5
+    assert len(set(zip(left.tolist(), right.tolist()))) == len(left)
+
+
 def test_filter_grows_with_the_ids_and_is_left_out_beyond_its_bound():
     assert near_dedup.filter_words(0) == near_dedup.filter_words(500) == 64
     assert near_dedup.filter_words(10**6) == 1 << 17 and near_dedup.filter_words(10**9) is None
