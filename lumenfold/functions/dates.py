@@ -9,16 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumenfold.options import NAME_CENTURIES
+
 # The shapes of dates in file names, in the order in which they are tried.
-_YEAR, _MONTH, _DAY = r"(?:20|19|18)\d{2}", r"(?:01|02|03|04|05|06|07|08|09|10|11|12)", r"[0-3]\d"
-NAME_PATTERNS = (
-    rf"{_YEAR}{_MONTH}{_DAY}-\d{{6}}",
-    rf"{_YEAR}{_MONTH}{_DAY}_\d{{6}}",
-    rf"{_YEAR}-{_MONTH}-{_DAY}-\d{{2}}-\d{{2}}-\d{{2}}",
-    rf"{_YEAR}-{_MONTH}-{_DAY}-\d{{6}}",
-    rf"{_YEAR}{_MONTH}{_DAY}\d{{6}}",
-    rf"{_YEAR}_{_MONTH}_{_DAY}_\d{{2}}_\d{{2}}_\d{{2}}",
-)
+_MONTH, _DAY = r"(?:01|02|03|04|05|06|07|08|09|10|11|12)", r"[0-3]\d"
+
+
+def name_patterns(centuries: tuple[str, ...] = NAME_CENTURIES) -> tuple[str, ...]:
+    year = rf"(?:{'|'.join(centuries)})\d{{2}}"
+    return (
+        rf"{year}{_MONTH}{_DAY}-\d{{6}}",
+        rf"{year}{_MONTH}{_DAY}_\d{{6}}",
+        rf"{year}-{_MONTH}-{_DAY}-\d{{2}}-\d{{2}}-\d{{2}}",
+        rf"{year}-{_MONTH}-{_DAY}-\d{{6}}",
+        rf"{year}{_MONTH}{_DAY}\d{{6}}",
+        rf"{year}_{_MONTH}_{_DAY}_\d{{2}}_\d{{2}}_\d{{2}}",
+    )
 
 
 def overflowing(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column) -> Column:
@@ -26,9 +32,9 @@ def overflowing(year: Column, month: Column, day: Column, hour: Column, minute:
     return start + F.make_ym_interval(F.lit(0), month - 1) + F.make_dt_interval(day - 1, hour, minute, second)
 
 
-def guess_from_name(name: Column) -> Column:
+def guess_from_name(name: Column, centuries: tuple[str, ...] = NAME_CENTURIES) -> Column:
     """Date in a file name (TIMESTAMP_NTZ), or null: the leftmost match of the first shape that occurs."""
-    digits = F.regexp_replace(F.coalesce(*(F.regexp_substr(name, F.lit(p)) for p in NAME_PATTERNS)), r"[^0-9]", "")
+    digits = F.regexp_replace(F.coalesce(*(F.regexp_substr(name, F.lit(p)) for p in name_patterns(centuries))), r"[^0-9]", "")
     part = lambda start, n: F.substring(digits, start, n).cast("int")
     return F.when(digits.isNotNull(), overflowing(part(1, 4), part(5, 2), part(7, 2), part(9, 2), part(11, 2), part(13, 2)))
 

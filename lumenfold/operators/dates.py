@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions.dates import guess_from_name, parse_exif, sidecar_date
 from lumenfold.functions.mime import is_image
 from lumenfold.operators.sidecar import find_sidecars
-from lumenfold.options import MAX_READ_BYTES, Options
+from lumenfold.options import MAX_READ_BYTES, NAME_CENTURIES, Options
 from lumenfold.sources.content import read_text, spread_by_bytes, with_exif_dates
 from lumenfold.staging import staged
 
@@ -35,15 +35,15 @@ def from_exif(media: DataFrame, entries: DataFrame, reject_zero: bool = True) ->
     return with_exif_dates(spread_by_bytes(staged(readable), F.lit(LOOKUP_BYTES))).select("path", parse_exif(F.col("exif_raw"), reject_zero).cast("timestamp").alias("date"))
 
 
-def from_name(media: DataFrame, entries: DataFrame) -> DataFrame:
-    return media.select("path", guess_from_name(F.col("name")).cast("timestamp").alias("date"))
+def from_name(media: DataFrame, entries: DataFrame, centuries: tuple[str, ...] = NAME_CENTURIES) -> DataFrame:
+    return media.select("path", guess_from_name(F.col("name"), centuries).cast("timestamp").alias("date"))
 
 
 def extractors(options: Options) -> list[Extractor]:
     """In order of trust. Without guessing, the hard sidecar search moves up to rank 2."""
     chain: list[Extractor] = [from_sidecar, partial(from_exif, reject_zero=options.reject_zero_exif)]
     if options.guess_from_name:
-        chain.append(from_name)
+        chain.append(partial(from_name, centuries=options.name_centuries))
     return [*chain, partial(from_sidecar, tryhard=True)]
 
 

@@ -26,6 +26,9 @@ EXTRA_SUFFIXES = (
     "-editat",
 )
 
+#: Centuries of the years that dates in names have.
+NAME_CENTURIES = ("20", "19", "18")
+
 
 @dataclass(frozen=True)
 class Options:
@@ -43,6 +46,7 @@ class Options:
     reject_zero_exif: bool = True
     on_nonempty_output: str = "fail"
     extra_suffixes: tuple[str, ...] = EXTRA_SUFFIXES
+    name_centuries: tuple[str, ...] = NAME_CENTURIES
 
     def __post_init__(self) -> None:
         for value, known in ((self.albums, ALBUM_MODES), (self.oversize_policy, ("reference", "full_hash")), (self.on_nonempty_output, ("fail", "clean", "append"))):
