@@ -36,8 +36,12 @@ def replace_last(text: Column, old: Column, new: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """Binary units, two decimals."""
+    """Binary units, two decimals, ties to the even one as in C; Spark's own format rounds them up."""
+    size = size.cast("long")
     out = F.concat(size.cast("string"), F.lit(" B"))
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(size >= 1024**k, F.concat(F.format_string("%.2f", size / float(1024**k)), F.lit(f" {unit}"))).otherwise(out)
+        rest = size.bitwiseAND(1024**k - 1) * 100
+        down, below = F.shiftright(size, 10 * k) * 100 + F.shiftright(rest, 10 * k), rest.bitwiseAND(1024**k - 1) * 2
+        cents = down + F.when((below > 1024**k) | ((below == 1024**k) & (down % 2 == 1)), 1).otherwise(0)
+        out = F.when(size >= 1024**k, F.format_string(f"%d.%02d {unit}", (cents / 100).cast("long"), cents % 100)).otherwise(out)
     return out

@@ -128,3 +128,11 @@ def test_name_rank_compares_as_text(spark):
 def test_human_size(spark):
     got = spark.createDataFrame([(10,), (2048,), (5 * 1024**3 // 2,)], "n long").select(paths.human_size(F.col("n"))).collect()
     assert [r[0] for r in got] == ["10 B", "2.00 KiB", "2.50 GiB"]
+
+
+def test_human_size_rounds_ties_to_even(spark):
+    sizes = [k * 262144 for k in (4608, 5632, 10752, 4609, 4607, 8191 * 512)] + [1029, 1024**2 - 1, 1024**4]
+    got = spark.createDataFrame([(k, n) for k, n in enumerate(sizes)], "k int, n long").orderBy("k").select(paths.human_size(F.col("n"))).collect()
+    n = [next((s / 1024**k, u) for k, u in ((4, "TiB"), (3, "GiB"), (2, "MiB"), (1, "KiB")) if s >= 1024**k) for s in sizes]
+    assert [r[0] for r in got] == [f"{v:.2f} {u}" for v, u in n]
+    assert [r[0] for r in got][:3] == ["1.12 GiB", "1.38 GiB", "2.62 GiB"]
