@@ -2,11 +2,16 @@
 
 Names that can meet share their stem without trailing ``(1)``s; so (folder, that root) is a group
 of its own, small even in a folder that holds everything. In a group a name is a level, the number
-of ``(1)``s, and each entry in turn takes the first free level from its own up.
+of ``(1)``s, and each entry in turn takes the first free level from its own up. A group's rows pass
+one task one after another, in time and memory in proportion to their number; only the names
+themselves, which grow by three characters a level, are written in full at the end.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,20 +34,40 @@ def named(root: Column, level: Column) -> Column:
     return F.concat(root["stem"], F.repeat(F.lit("(1)"), level), root["ext"])
 
 
+def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Levels of rows sorted by group, taken names before entries, entries by turn; only entries come out.
+
+    ``after`` leads from each level that isn't free to a later one. Ways are shortened as they are
+    walked, so an entry takes nearly constant time, however many names its group has.
+    """
+    group, after = None, {}
+    for b in batches:
+        out: list[int | None] = []
+        for *here, level, is_new in zip(*(b.column(n).to_pylist() for n in ("folder", "stem", "ext", "level", "is_new"))):
+            if here != group:
+                group, after = here, {}
+            free = level
+            while free in after:
+                free = after[free]
+            step = level
+            while step != free:
+                after[step], step = free, after[step]
+            out.append(free)
+            if level is not None and (is_new or free == level):
+                after[free] = free + 1
+        placed = pa.RecordBatch.from_arrays([b.column("key"), b.column("stem"), b.column("ext"), pa.array(out, pa.int32())], ["key", "stem", "ext", "level"])
+        yield placed.filter(b.column("is_new"))
+
+
 def assign_names(entries: DataFrame, occupied: DataFrame | None, key: str, order: list[str]) -> DataFrame:
     """(key, final_name) for rows (key, folder, name, *order); ``occupied`` lists taken (folder, name)."""
-    rows = entries.select(key, "folder", root_of(F.col("name")).alias("root"), level_of(F.col("name")).alias("level"), F.struct(*order).alias("turn"))
-    taken = F.array().cast("array<int>")
-    groups = rows.groupBy("folder", "root").agg(F.array_sort(F.collect_list(F.struct("turn", F.col(key).alias("key"), "level"))).alias("queue"))
+    name = F.col("name")
+    group = ["folder", "stem", "ext"]
+    columns = [F.col("folder"), root_of(name)["stem"].alias("stem"), root_of(name)["ext"].alias("ext"), level_of(name).alias("level")]
+    rows = entries.select(*columns, F.lit(True).alias("is_new"), F.col(key).cast("string").alias("key"), F.struct(F.struct(*order), key, level_of(name)).alias("turn"))
     if occupied is not None:
-        there = occupied.groupBy("folder", root_of(F.col("name")).alias("root")).agg(F.collect_set(level_of(F.col("name"))).alias("taken"))
-        groups, taken = groups.join(there, ["folder", "root"], "left"), F.coalesce("taken", taken)
-    zero = F.struct(taken.alias("taken"), F.array().cast("array<struct<key:string,level:int>>").alias("out"))
-
-    def place(acc: Column, x: Column) -> Column:
-        # of the levels level .. level + number taken, one at least is free
-        free = F.array_min(F.array_except(F.sequence(x["level"], x["level"] + F.size(acc["taken"])), acc["taken"]))
-        return F.struct(F.array_append(acc["taken"], free).alias("taken"), F.array_append(acc["out"], F.struct(x["key"].cast("string").alias("key"), free.alias("level"))).alias("out"))
-
-    placed = groups.withColumn("out", F.explode(F.aggregate("queue", zero, place, lambda acc: acc["out"])))
-    return placed.select(F.col("out.key").alias(key), named(F.col("root"), F.col("out.level")).alias("final_name"))
+        rows = rows.unionByName(occupied.select(*columns, F.lit(False).alias("is_new")).distinct(), allowMissingColumns=True)
+    # dealt by a hash of the group, as the planner may take a shuffle by the group itself for done
+    sorted_rows = rows.repartition(F.xxhash64(*group)).sortWithinPartitions(*group, "is_new", "turn").drop("turn")
+    placed = sorted_rows.mapInArrow(place, "key string, stem string, ext string, level int")
+    return placed.select(F.col("key").alias(key), named(F.struct("stem", "ext"), F.col("level")).alias("final_name"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -132,6 +133,16 @@ def test_collision_names_like_one_after_another(spark, rows, taken):
     assert len(set(got)) == len(got)
 
 
+def test_many_equal_names_take_time_in_proportion(spark):
+    n = 40_000
+    rows = spark.range(n).select(F.col("id").cast("string").alias("key"), F.lit("/o").alias("folder"), F.lit("a.jpg").alias("name"), F.col("id").alias("turn"))
+    taken = spark.createDataFrame([("/o", "a(1).jpg")], "folder string, name string")
+    began = time.monotonic()
+    got = assign_names(rows, taken, "key", ["turn"]).agg(F.count_distinct(F.length("final_name")), F.max(F.length("final_name"))).first()
+    assert tuple(got) == (n, 5 + 3 * n)
+    assert time.monotonic() - began < 60
+
+
 def manifest(spark, mode, rows=LIST, **options):
     merged = albums.merge_albums(dedup.remove_duplicates(media(spark, rows)))
     return build_manifest(merged, Options(output="/out", albums=mode, **options))
