@@ -30,6 +30,23 @@ WINDOW = 8
 # ---------------------------------------------------------------- statistics of one text
 
 
+def window_hashes(tokens: Column, width: int) -> Column:
+    """A 64-bit hash of each ``width``-word window, in order; there must be ``width`` words or more.
+
+    Words are hashed in pairs, then pairs of pairs, so that a word is read twice and not by every
+    window that holds it. Where a window would pass the end, the hash means nothing and is cut off.
+    """
+
+    def widened(hashes: Column, step: int) -> Column:
+        return let(hashes, lambda hs: F.zip_with(hs, F.slice(hs, step + 1, F.size(hs)), lambda x, y: F.xxhash64(x, y)))
+
+    found, span = tokens, 1
+    while span < width:
+        step = min(span, width - span)
+        found, span = widened(found, step), span + step
+    return F.slice(found, 1, F.size(tokens) - (width - 1))
+
+
 def repeated_window_words(tokens: Column, width: int = WINDOW) -> Column:
     """Words that lie in a ``width``-word window which occurs twice or more in the text.
 
@@ -48,53 +65,55 @@ def repeated_window_words(tokens: Column, width: int = WINDOW) -> Column:
     def repeats(ws: Column, hashes: Column) -> Column:
         entries = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), (i + 1).alias("p")))
         return let(
-            F.array_sort(entries),
-            lambda ranked: covered(F.array_sort(F.transform(F.filter(ranked, lambda x, k: twin(ranked, ws, x, k - 1) | twin(ranked, ws, x, k + 1)), lambda x: x["p"]))),
+            F.sort_array(entries),  # array_sort would compare by an interpreted lambda
+            lambda ranked: covered(F.sort_array(F.transform(F.filter(ranked, lambda x, k: twin(ranked, ws, x, k - 1) | twin(ranked, ws, x, k + 1)), lambda x: x["p"]))),
         )
 
     def of(ws: Column) -> Column:
-        starts = F.when(F.size(ws) >= width, F.sequence(F.lit(1), F.size(ws) - (width - 1)))
-        hashes = F.transform(starts, lambda p: F.xxhash64(F.slice(ws, p, width)))
+        hashes = F.when(F.size(ws) >= width, window_hashes(ws, width))
         return let(hashes, lambda hs: F.when(F.size(F.array_distinct(hs)) < F.size(hs), repeats(ws, hs)).otherwise(F.lit(0).cast("long")))
 
     return F.coalesce(let(tokens, of), F.lit(0).cast("long"))
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add one struct column ``stats`` of long counts: the contract's four and those the rules use."""
+def with_statistics(docs: DataFrame, text: str = "text", only: Sequence[str] | None = None) -> DataFrame:
+    """Add one struct column ``stats`` of long counts: the contract's four and those the rules use, or some of them.
+
+    Counts of words are taken inside one lambda, where the planner can't leave out those that nobody
+    reads; ``only`` does.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
-    def count(pattern: str) -> Column:
-        return (F.char_length(body) - F.char_length(F.regexp_replace(body, pattern, ""))).cast("long")
+    def asked(counts: dict[str, Column]) -> list[Column]:
+        return [c.cast("long").alias(n) for n, c in counts.items() if only is None or n in only]
 
     def of_words(ws: Column) -> Column:
+        same_as_next = F.zip_with(ws, F.slice(ws, 2, F.size(ws)), lambda x, y: x.eqNullSafe(y))
         return F.struct(
-            F.size(ws).cast("long").alias("n_words"),
-            F.aggregate(ws, F.lit(0).cast("long"), lambda n, w: n + F.char_length(w)).alias("word_chars"),
-            F.size(F.array_distinct(ws)).cast("long").alias("n_distinct_words"),
-            F.size(F.filter(ws, lambda w, i: w == F.get(ws, i - 1))).cast("long").alias("n_stutters"),
-            repeated_window_words(ws).alias("n_repeat_words"),
+            *asked(
+                {
+                    "n_words": F.size(ws),
+                    "word_chars": F.char_length(F.array_join(ws, "")),
+                    "n_distinct_words": F.size(F.array_distinct(ws)),
+                    "n_stutters": F.size(F.array_remove(same_as_next, False)),
+                    "n_repeat_words": repeated_window_words(ws),
+                }
+            )
         )
 
     def of_lines(ls: Column) -> Column:
-        return F.struct(F.size(ls).cast("long").alias("n_lines"), (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"))
+        return F.struct(*asked({"n_lines": F.size(ls), "n_dup_lines": F.size(ls) - F.size(F.array_distinct(ls))}))
+
+    def count(pattern: str) -> Column:
+        return F.char_length(body) - F.char_length(F.regexp_replace(body, pattern, ""))
 
     w, l = fresh(docs, "w"), fresh(docs, "l")
+    characters = {"n_symbols": count(SYMBOLS), "n_marks": count(r"[!?]"), "n_capitals": count(r"[A-Z]"), "n_digits": count(r"[0-9]")}
     return (
         docs.withColumn(w, let(words(F.col(text)), of_words))
         .withColumn(l, let(lines, of_lines))
-        .withColumn(
-            "stats",
-            F.struct(
-                f"{w}.*",
-                f"{l}.*",
-                count(SYMBOLS).alias("n_symbols"),
-                count(r"[!?]").alias("n_marks"),
-                count(r"[A-Z]").alias("n_capitals"),
-                count(r"[0-9]").alias("n_digits"),
-            ),
-        )
+        .withColumn("stats", F.struct(f"{w}.*", f"{l}.*", *asked(characters)))
         .drop(w, l)
     )
 

@@ -4,8 +4,10 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from lumenfold.llm import quality
+from lumenfold.llm import quality, queries
+from lumenfold.llm.common import words
 
 SEP = r"[^\x20\x09-\x0D]+"
 
@@ -85,3 +87,38 @@ def test_clashing_names_pass_through(spark, docs):
     d = docs(TEXTS).selectExpr("doc_id", "text", "'a' AS _w", "'b' AS _L", "'c' AS n_words")
     got = quality.apply_rules(d, []).collect()
     assert all((r._w, r._L, r.n_words) == ("a", "b", "c") for r in got) and len(got) == len(TEXTS)
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 5, 7, 8, 9, 13])
+def test_repeated_windows_of_any_width(spark, docs, width):
+    def covered(text):
+        w = re.findall(SEP, text or "")
+        at = [tuple(w[k : k + width]) for k in range(len(w) - width + 1)]
+        c = Counter(at)
+        return len({j for k, x in enumerate(at) if c[x] > 1 for j in range(k, k + width)})
+
+    texts = [*TEXTS, "a b a b a b a b c " * 2, "b a " * 9 + "a", " ".join("ab"[k * k % 7 % 2] for k in range(60)), "ab c a bc " * 2, " ".join(map(str, range(width))), " ".join(map(str, range(width - 1))) * 2]
+    got = docs(texts).select("doc_id", quality.repeated_window_words(words(F.col("text")), width).alias("n")).orderBy("doc_id").collect()
+    assert [r.n for r in got] == [covered(t) for t in texts]
+
+
+def test_stutters_and_distinct_words(spark, docs):
+    got = quality.with_statistics(docs(TEXTS)).orderBy("doc_id").collect()
+    for r, t in zip(got, TEXTS):
+        w = re.findall(SEP, t or "")
+        assert (r.stats.n_distinct_words, r.stats.n_stutters) == (len(set(w)), sum(x == y for x, y in zip(w, w[1:])))
+
+
+@pytest.mark.parametrize("only", [queries.COUNTS, ("n_words",), ("n_lines", "n_digits"), ("n_symbols",)])
+def test_only_counts_that_are_asked_for(spark, docs, only):
+    some, every = quality.with_statistics(docs(TEXTS), only=only), quality.with_statistics(docs(TEXTS))
+    assert set(some.schema["stats"].dataType.names) == set(only)
+    counts = [f"stats.{n}" for n in only]
+    assert some.select("doc_id", *counts).orderBy("doc_id").collect() == every.select("doc_id", *counts).orderBy("doc_id").collect()
+
+
+def test_quality_statistics_work_per_word(spark):
+    """No window reads all its words, no sort compares by a lambda, and no count is computed that isn't returned."""
+    plan = queries.quality_statistics(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "n_repeat_words" in plan and "xxhash64" in plan
+    assert not re.search(r"xxhash64\(slice|array_sort|n_stutters|n_distinct_words", plan)
