@@ -3,7 +3,8 @@
 Each round is a map-side combined minimum per vertex and a join back on the vertex. Where a vertex
 holds a large share of all edges, its minimum is broadcast and its edges stay dealt out, so no
 vertex's neighbours meet in one task. Rounds are written to the shared folder, so neither lineage nor
-a lost executor costs earlier rounds. Nothing but counts and a checksum reaches the driver.
+a lost executor costs earlier rounds. Rounds end when all edges form stars around least vertices.
+Nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -39,27 +40,35 @@ def _star(edges: DataFrame, large: bool, total: int | None) -> DataFrame:
     return out.filter(F.col("a") != F.col("b")).distinct()
 
 
-def _measure(edges: DataFrame) -> tuple[int, int | None, int | None]:
-    """Edges, checksum, and the most edges of one vertex. Degrees are counted with a map-side combine."""
-    ends = edges.select("a", F.xxhash64("a", "b").cast("decimal(38,0)").alias("h")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).cast("decimal(38,0)").alias("h")))
-    row = ends.groupBy("a").agg(F.count("*").alias("n"), F.sum("h").alias("h")).agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.max("n").alias("most")).first()
-    return (row["n"] or 0) // 2, row["h"], row["most"]
+def _measure(edges: DataFrame) -> tuple[int, int, int]:
+    """Of distinct edges (a, b) with b < a: their number, the most of one vertex, and the vertices that
+    keep them from being stars around their least vertices, i.e. have a smaller neighbour and another one.
 
+    Degrees are counted with a map-side combine.
+    """
+    ends = edges.select("a", F.lit(1).alias("smaller")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("smaller")))
+    degrees = ends.groupBy("a").agg(F.count("*").alias("n"), F.sum("smaller").alias("smaller"))
+    row = degrees.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count_if((F.col("smaller") > 0) & (F.col("n") > 1)).alias("open")).first()
+    return (row["n"] or 0) // 2, row["most"] or 0, row["open"]
 
-def connected_components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
-    """(vertex, component): each linked vertex with the smallest vertex it reaches.
+
+def star_forest(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
+    """(vertex, component), as a written table: each linked vertex but the smallest of each component.
 
     Self links and rows with a null end are ignored; repeated links count once. Without links the
     result is empty.
     """
     l, r = F.col(left).cast("long"), F.col(right).cast("long")
     edges = materialise(links.filter(l.isNotNull() & r.isNotNull() & (l != r)).select(F.greatest(l, r).alias("a"), F.least(l, r).alias("b")).distinct())
-    known = _measure(edges)
-    while known[0]:
-        total = 2 * known[0] if has_heavy(known[2], 2 * known[0]) else None
+    number, most, still_open = _measure(edges)
+    while still_open:
+        total = 2 * number if has_heavy(most, 2 * number) else None
         edges = materialise(_star(_star(edges, True, total), False, total))
-        now = _measure(edges)
-        if now == known:
-            break
-        known = now
-    return edges.select(F.col("a").alias("vertex"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("vertex"), F.col("b").alias("component")).distinct())
+        number, most, still_open = _measure(edges)
+    return edges.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
+
+
+def connected_components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
+    """(vertex, component): each linked vertex with the smallest vertex it reaches."""
+    stars = star_forest(links, left, right)
+    return stars.unionByName(stars.select(F.col("component").alias("vertex"), "component").distinct())

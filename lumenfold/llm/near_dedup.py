@@ -4,8 +4,9 @@
    and a sketch of 128 minwise bytes. Texts of equal sets are one class from here on.
 2. In each of several independent trees every class walks down by minwise tokens: the node of a
    class is the path of tokens chosen so far. A node of at most ``node_rows`` classes is compared
-   exhaustively, by sketch; a larger one branches by a further token. A tree has ``depth`` minwise
-   tokens of its own, so trees are independent. Two sets of similarity J share the node of the last
+   exhaustively, by sketch; a larger one branches by a further token. Nodes of all further levels are
+   counted at once, so each row goes straight to its own, and all nodes are compared in one pass. A
+   tree has ``depth`` minwise tokens of its own, so trees are independent. Two sets of similarity J share the node of the last
    level with chance J^depth, which sets the number of trees.
 3. A node still large at ``depth`` holds near-copies of one text. Its smallest class is the pivot:
    all are compared with it, by sketch and then on the full sets. Those linked to it form its star
@@ -31,11 +32,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import join_per_key, materialise, whole_groups
-from lumenfold.llm.components import connected_components
+from lumenfold.llm.components import star_forest
 
 RECALL, DEPTH, NODE_ROWS = 0.9999, 4, 512
 SKETCH = 128
@@ -125,15 +126,16 @@ def describe_sets(docs: DataFrame, width: int, tokens: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, items) with all shingle hashes."""
+    """(doc_id, n, items) with all shingle hashes, and the pairs of ``docs`` as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for b in batches:
             items = [shingler(t).view(np.int64) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "n", "items"])
+            columns = [b.column("doc_id"), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.int64())), b.column("pairs_a"), b.column("pairs_b")]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "items", "pairs_a", "pairs_b"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, items array<long>")
+    return docs.select("doc_id", "text", "pairs_a", "pairs_b").mapInArrow(run, "doc_id long, n long, items array<long>, pairs_a long, pairs_b long")
 
 
 # ---------------------------------------------------------------- nodes
@@ -232,6 +234,7 @@ def _compare_nodes(percent: int, rows_together: int = 20_000):
             ids, n, starred = (t.column(c).to_numpy() for c in ("rep", "n", "starred"))
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(ids), SKETCH)
             left, right, suspects = _forest_of_node(ids, n, sketch, starred, percent)
+            suspects = np.unique(suspects)
             a += np.minimum(left, right).tolist() + suspects.tolist()
             b += np.maximum(left, right).tolist() + [None] * len(suspects)
             node += [None] * len(left) + [int(key)] * len(suspects)
@@ -270,38 +273,56 @@ def candidate_pairs(reps: DataFrame, trees: int, percent: int, node_rows: int, d
     """Of classes (rep, n, tokens, sketch) that meet and look alike: forest links (a, b), a < b, and
     suspects (node, a), where b is null; and the rows of nodes that stay large, beside their pivots."""
     paths = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("tokens", t * depth + 1, F.lit(depth)))
-    rows = reps.select("rep", "n", "sketch", F.posexplode(paths).alias("tree", "path")).withColumn("node", F.xxhash64("tree", F.element_at("path", 1))).drop("tree").withColumn("starred", F.lit(False))
-    found, met = None, None
-    for level in range(depth):
-        large = _large_nodes(rows, node_rows)
-        some = not large.isEmpty()
-        marked = join_per_key(rows, large.withColumn("large", F.lit(True)), ["node"], "rows", ["rep"]) if some else rows
-        small = marked.filter(F.col("large").isNull()).drop("large") if some else rows
-        pairs = materialise(_candidates_of(small, percent))
-        found = pairs if found is None else found.unionByName(pairs)
-        if not some:
-            break
-        stay = marked.filter(F.col("large"))
-        if level < depth - 1:
-            rows = materialise(stay.withColumn("node", F.xxhash64("node", F.element_at("path", level + 2))).drop("large"))
-        else:
-            met = _beside_pivots(stay, large, percent)
-    return found, met
-
-
-def _beside_pivots(rows: DataFrame, large: DataFrame, percent: int) -> DataFrame:
-    pivots = rows.groupBy("node").agg(F.min("rep").alias("pivot"))
-    with_sketch = pivots.join(rows.select("node", F.col("rep").alias("pivot"), F.col("sketch").alias("pivot_sketch")), ["node", "pivot"]).dropDuplicates(["node"])
-    per_node = materialise(with_sketch.join(large, "node"))
+    rows = reps.select("rep", "n", "sketch", F.posexplode(paths).alias("tree", "path")).withColumn("node", F.xxhash64("tree", F.element_at("path", 1))).drop("tree")
+    large = _large_nodes(rows, node_rows)
+    if large.isEmpty():
+        return materialise(_candidates_of(_unstarred(rows), percent)), None
+    marked = join_per_key(rows, large.withColumn("large", F.lit(True)), ["node"], "rows", ["rep"])
+    placed = _further_down(marked.filter("large").drop("large"), node_rows, depth)
+    small = _unstarred(marked.filter(F.col("large").isNull())).unionByName(_unstarred(placed.filter(~F.col("large"))))
+    found = materialise(_candidates_of(small, percent))
+    stay = placed.filter("large")
+    return found, None if stay.isEmpty() else _beside_pivots(stay, percent)
+
+
+def _unstarred(rows: DataFrame) -> DataFrame:
+    return rows.select("rep", "n", "sketch", "node", F.lit(False).alias("starred"))
+
+
+def _further_down(rows: DataFrame, node_rows: int, depth: int) -> DataFrame:
+    """Rows of large nodes, each in the first node further down its path that isn't large, else in the
+    last one, as a written table; ``large`` tells the latter.
+
+    Nodes of all levels are counted together; a node's rows are among those of the one above it.
+    """
+    levels = [f"_node{k}" for k in range(1, depth)]
+    for k, level in enumerate(levels):
+        rows = rows.withColumn(level, F.xxhash64(levels[k - 1] if k else "node", F.element_at("path", k + 2)))
+    if not levels:
+        return materialise(rows.select("rep", "n", "sketch", "node", F.lit(True).alias("large")))
+    rows = materialise(rows.select("rep", "n", "sketch", *levels))
+    large = _large_nodes(rows.select(F.explode(F.array(*levels)).alias("node")), node_rows)
+    total = large.agg(F.sum("rows")).first()[0]
+    if total is None:
+        return rows.select("rep", "n", "sketch", F.col(levels[0]).alias("node"), F.lit(False).alias("large"))
+    for level in levels:
+        rows = join_per_key(rows, large.select(F.col("node").alias(level), "rows", F.lit(True).alias(f"{level}_large")), [level], "rows", ["rep"], total)
+    own = F.coalesce(*(F.when(F.col(f"{level}_large").isNull(), F.col(level)) for level in levels), F.col(levels[-1]))
+    return materialise(rows.select("rep", "n", "sketch", own.alias("node"), F.col(f"{levels[-1]}_large").isNotNull().alias("large")))
+
+
+def _beside_pivots(rows: DataFrame, percent: int) -> DataFrame:
+    least = rows.groupBy("node").agg(F.min(F.struct("rep", "sketch")).alias("least"), F.count("*").alias("rows"))
+    per_node = materialise(least.select("node", F.col("least.rep").alias("pivot"), F.col("least.sketch").alias("pivot_sketch"), "rows"))
     beside = join_per_key(rows.select("node", "rep", "n", "sketch"), per_node, ["node"], "rows", ["rep"])
     return materialise(_against_pivot(beside.select("node", "rep", "n", "sketch", "pivot", "pivot_sketch"), percent))
 
 
-def star_links(docs: DataFrame, met: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of pivots that hold on the full sets, and those sets."""
+def star_links(docs: DataFrame, met: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) of pivots that hold on the full sets."""
     looked_at = materialise(met.filter(F.col("near") & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
-    sets = sets_of(docs, looked_at, width)
-    return materialise(confirmed_links(looked_at, sets, percent)), sets
+    per_doc = pairs_of_each(looked_at)
+    return materialise(confirmed_links(looked_at, per_doc, sets_of(docs, per_doc, width), percent))
 
 
 def rest_pairs(met: DataFrame, star: DataFrame, percent: int, node_rows: int) -> DataFrame:
@@ -333,13 +354,26 @@ def _cells(met: DataFrame, node_rows: int) -> DataFrame:
 # ---------------------------------------------------------------- confirmation
 
 
-def _with_items(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
-    """Pairs with the full set of one side. A document of many pairs is met in several places, by salt."""
-    per_doc = materialise(pairs.groupBy(side).agg(F.count("*").alias("pairs")).withColumn("places", F.ceil(F.col("pairs") / PAIRS_TOGETHER).cast("int")))
+def pairs_of_each(pairs: DataFrame) -> DataFrame:
+    """(doc_id, pairs_a, pairs_b): the documents in the pairs, with their pairs on either side, as a written table."""
+    end = lambda side, is_a: F.struct(F.col(side).alias("doc_id"), F.lit(is_a).alias("is_a"))
+    ends = pairs.select(F.explode(F.array(end("a", 1), end("b", 0))).alias("end")).select("end.*")
+    return materialise(ends.groupBy("doc_id").agg(F.sum("is_a").alias("pairs_a"), F.sum(1 - F.col("is_a")).alias("pairs_b")))
+
+
+def _places(side: str) -> Column:
+    return F.ceil(F.col(f"pairs_{side}") / PAIRS_TOGETHER).cast("int")
+
+
+def _with_items(pairs: DataFrame, sets: DataFrame, many: DataFrame | None, side: str) -> DataFrame:
+    """Pairs with the full set of one side. A document of ``many`` pairs is met in several places, by salt."""
+    items = F.col("items").alias(f"items_{side}")
+    if many is None:
+        return pairs.join(sets.select(F.col("doc_id").alias(side), items), side)
     other = "b" if side == "a" else "a"
-    many = per_doc.filter("places > 1")
-    salted = join_per_key(pairs, many, [side], "pairs", [other]).withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("places", F.lit(1))).cast("int")).drop("places")
-    copies = sets.select(F.col("doc_id").alias(side), "items").join(per_doc.select(side, "places"), side).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("places") - 1))).drop("places").withColumnRenamed("items", f"items_{side}")
+    per_key = many.select(F.col("doc_id").alias(side), f"pairs_{side}", _places(side).alias("places")).filter("places > 1")
+    salted = join_per_key(pairs, per_key, [side], f"pairs_{side}", [other]).withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("places", F.lit(1))).cast("int")).drop("places")
+    copies = sets.filter(_places(side) > 0).select(F.col("doc_id").alias(side), items, F.explode(F.sequence(F.lit(0), _places(side) - 1)).alias("salt"))
     return salted.join(copies, [side, "salt"]).drop("salt")
 
 
@@ -365,17 +399,17 @@ def _maybe_listed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return marked.filter(F.col("_bits").bitwiseAND(bit(F.col("doc_id"))) != 0).drop("_word", "_bits")
 
 
-def sets_of(docs: DataFrame, pairs: DataFrame, width: int, known: DataFrame | None = None) -> DataFrame:
-    """Full sets of the documents in the pairs, as a written table; those ``known`` aren't made again."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ids = materialise(ids if known is None else ids.join(known.select("doc_id"), "doc_id", "left_anti"))
-    made = materialise(full_sets(_maybe_listed(docs.select("doc_id", "text"), ids).join(ids, "doc_id", "left_semi"), width))
-    return made if known is None else made.unionByName(known)
+def sets_of(docs: DataFrame, per_doc: DataFrame, width: int) -> DataFrame:
+    """Full sets of the documents in ``per_doc``, with their numbers of pairs, as a written table."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return materialise(full_sets(_maybe_listed(texts, per_doc).join(per_doc, "doc_id"), width))
 
 
-def confirmed_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirmed_links(pairs: DataFrame, per_doc: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
-    both = _with_items(_with_items(pairs, sets, "a"), sets, "b")
+    most = per_doc.agg(F.max(F.greatest("pairs_a", "pairs_b"))).first()[0] or 0
+    many = materialise(per_doc.filter(F.greatest("pairs_a", "pairs_b") > PAIRS_TOGETHER)) if most > PAIRS_TOGETHER else None
+    both = _with_items(_with_items(pairs, sets, many, "a"), sets, many, "b")
     counted = both.select("a", "b", F.size(F.array_intersect("items_a", "items_b")).alias("shared"), (F.size("items_a") + F.size("items_b")).alias("total"))
     return counted.filter(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
 
@@ -438,19 +472,23 @@ def _confirm_nodes(percent: int):
     return run
 
 
-def further_links(suspects: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def further_links(suspects: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Links between components that meet in a node: all its pairs across components, on full sets.
 
-    Most nodes hold one component by now and are left out before any set is moved.
+    Most nodes hold one component by now and are left out before any set is moved; None if all do.
     """
-    named = materialise(suspects.distinct().join(parts.select(F.col("vertex").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a")))
-    open_nodes = named.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("node")
-    rows = materialise(named.join(open_nodes, "node", "left_semi").join(sets.select(F.col("doc_id").alias("a"), "n"), "a"))
-    sizes = rows.groupBy("node").agg(F.ceil(F.sum("n") / ITEMS_TOGETHER).cast("int").alias("parts"))
-    split = rows.join(sizes, "node").join(sets.select(F.col("doc_id").alias("a"), "items"), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    named = suspects.join(parts.select(F.col("vertex").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    in_node = Window.partitionBy("node")
+    spread = named.withColumn("x", F.min("component").over(in_node)).withColumn("y", F.max("component").over(in_node))
+    open_rows = materialise(spread.filter("x < y").select("node", "a", "component"))
+    if open_rows.isEmpty():
+        return None
+    sized = open_rows.join(sets.select(F.col("doc_id").alias("a"), "n"), "a").withColumn("parts", F.ceil(F.sum("n").over(in_node) / ITEMS_TOGETHER).cast("int"))
+    rows = sized.groupBy("node", "a", "component").agg(F.max("parts").alias("parts"))
+    split = rows.join(sets.select(F.col("doc_id").alias("a"), "n", "items"), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     items = F.when(F.col("parts") == 1, F.col("items")).otherwise(F.filter("items", lambda x: F.pmod(x, F.col("parts")) == F.col("part")))
     dealt = whole_groups(split.select("node", "part", "a", "component", "n", items.alias("items")), "node", "part", "a")
-    return dealt.mapInArrow(_confirm_nodes(percent), "a long, b long")
+    return materialise(dealt.mapInArrow(_confirm_nodes(percent), "a long, b long"))
 
 
 def near_dedup(docs: DataFrame, *, width: int = 5, percent: int = 80, recall: float = RECALL, node_rows: int = NODE_ROWS, depth: int = DEPTH) -> DataFrame:
@@ -460,17 +498,18 @@ def near_dedup(docs: DataFrame, *, width: int = 5, percent: int = 80, recall: fl
     listed = sets.filter(F.col("f0").isNotNull() & F.col("doc_id").isNotNull())
     reps = materialise(listed.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")))
     found, met = candidate_pairs(reps, trees, percent, node_rows, depth)
-    star, star_sets = (None, None) if met is None else star_links(docs, met, width, percent)
+    star = None if met is None else star_links(docs, met, width, percent)
     if met is not None:
         found = found.unionByName(rest_pairs(met, star, percent, node_rows))
     pairs = materialise(found.filter(F.col("b").isNotNull()).select("a", "b").distinct())
-    sets_of_pairs = sets_of(docs, pairs, width, star_sets)
-    links = confirmed_links(pairs, sets_of_pairs, percent)
-    parts = materialise(connected_components(links if star is None else links.unionByName(star)))
+    per_doc = pairs_of_each(pairs)
+    sets_of_pairs = sets_of(docs, per_doc, width)
+    links = confirmed_links(pairs, per_doc, sets_of_pairs, percent)
+    parts = star_forest(links if star is None else links.unionByName(star))
     suspects = found.filter(F.col("b").isNull()).select("node", "a")
-    more = materialise(further_links(suspects, parts, sets_of_pairs, percent))
-    if not more.isEmpty():
-        parts = connected_components(parts.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(more))
+    more = further_links(suspects, parts, sets_of_pairs, percent)
+    if more is not None and not more.isEmpty():
+        parts = star_forest(parts.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(more))
     per_class = materialise(reps.select("f0", "f1", "size", "rep").join(parts.select(F.col("vertex").alias("rep"), "component"), "rep", "left").select("f0", "f1", "size", F.coalesce("component", "rep").alias("component_id")))
     out = join_per_key(sets.select("doc_id", "n", "f0", "f1"), per_class, ["f0", "f1"], "size", ["doc_id"])
     least = F.when(F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenfold.llm import components as by_rounds
 from lumenfold.llm import embedding_dedup, near_dedup
 from lumenfold.llm.common import whole_groups
 from lumenfold.llm.components import _least, _meet, connected_components
@@ -60,6 +61,16 @@ def test_a_hub_is_dealt_out(spark, hub):
     assert most[1] < 2000 < 2999 < most[0]
 
 
+@pytest.mark.parametrize(("links", "rounds"), [([(0, k) for k in range(1, 9)] + [(20, 21), (21, 20), (20, 22)], 0), ([(0, 1), (1, 2)], 1), ([(0, 2), (1, 2), (2, 3)], 1)])
+def test_stars_need_no_round(spark, monkeypatch, links, rounds):
+    """Edges that are stars around least vertices are the result: neither made again nor confirmed by a round."""
+    star, calls = by_rounds._star, []
+    monkeypatch.setattr(by_rounds, "_star", lambda *x: calls.append(1) or star(*x))
+    got = {r.vertex: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == components({v for x in links for v in x}, links)
+    assert len(calls) == 2 * rounds
+
+
 # ---------------------------------------------------------------- embeddings
 
 
@@ -196,6 +207,29 @@ def test_no_link_rests_on_the_sketch_alone(spark, monkeypatch, least, items):
     assert {r.doc_id: r.component_id for r in got} == c
 
 
+@pytest.mark.parametrize("depth", [1, 2, 4])
+def test_nodes_of_all_levels_are_compared_in_one_pass(spark, monkeypatch, depth):
+    """One pass for all small nodes and one for those that stay large, however deep; few tables are written."""
+    calls, written = [], []
+    candidates, write = near_dedup._candidates_of, near_dedup.materialise
+    monkeypatch.setattr(near_dedup, "_candidates_of", lambda *x: calls.append(1) or candidates(*x))
+    monkeypatch.setattr(near_dedup, "materialise", lambda x: written.append(1) or write(x))
+    rows = corpus()
+    sets, c = document_truth(rows, 3, 85)
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85, node_rows=3, depth=depth).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), c[i]) for i in c}
+    assert len(calls) == 2 and len(written) <= 22
+
+
+@pytest.mark.parametrize("together", [1, 3])
+def test_documents_of_many_pairs_are_met_in_several_places(spark, monkeypatch, together):
+    monkeypatch.setattr(near_dedup, "PAIRS_TOGETHER", together)
+    rows = corpus()
+    c = document_truth(rows, 3, 85)[1]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85, node_rows=3, depth=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == c
+
+
 def test_a_node_gives_few_pairs_all_and_many_as_a_forest():
     rng = np.random.default_rng(3)
     for m, copies in ((30, 2), (40, 20)):
